@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickloom.llm.leaks import find_leaks
+from tickloom.llm.mixing import mix, mix_report
 from tickloom.sources.tables import read_table
 
 
@@ -14,8 +16,21 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return find_leaks(read_table(spark, directory, "documents"), read_table(spark, directory, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p7_found(spark: SparkSession, directory: str) -> DataFrame:
+    return p7_report(spark, directory).where("short").select("source")
+
+
+def p7_report(spark: SparkSession, directory: str) -> DataFrame:
+    return mix_report(read_table(spark, directory, "documents"), read_table(spark, directory, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, directory: str) -> DataFrame:
+    mixed = mix(read_table(spark, directory, "documents"), read_table(spark, directory, "mix_targets"))
+    return mixed.select("shard", "position", "source", "block", "use", (F.octet_length("tokens") / 2).cast("long").alias("n_tokens"), F.xxhash64("tokens").alias("digest"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found,)}
+    return {f.__name__: f for f in (p6_found, p7_found, p7_report, p7_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
