@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.leaks import find_leaks
 from tickloom.llm.mixing import mix, mix_report
+from tickloom.llm.subjects import assign_subjects, fit_subjects
 from tickloom.sources.tables import read_table
 
 
@@ -29,8 +30,15 @@ def p7_mix(spark: SparkSession, directory: str) -> DataFrame:
     return mixed.select("shard", "position", "source", "block", "use", (F.octet_length("tokens") / 2).cast("long").alias("n_tokens"), F.xxhash64("tokens").alias("digest"))
 
 
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    documents = read_table(spark, directory, "documents")
+    subjects = [r[0] for r in read_table(spark, directory, "subjects").select("subject").where("subject is not null").distinct().orderBy("subject").collect()]  # a fixed list
+    model = fit_subjects(documents, read_table(spark, directory, "doc_labels"), subjects)
+    return assign_subjects(documents, model).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p7_found, p7_report, p7_mix)}
+    return {f.__name__: f for f in (p6_found, p7_found, p7_report, p7_mix, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
