@@ -10,8 +10,9 @@ squeezed text against the item decides.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import col, require
-from tickloom.llm.text import rough_words, squeezed, squeezed_words
+from tickloom.llm.text import document_words, rough_words, squeezed, squeezed_words
 
 PASSAGE = 96
 BLOCK = 16
@@ -210,41 +211,83 @@ def _after(words: list[str], text: str, j: int, o: int, step: int) -> list[tuple
         j, o = a, spot
 
 
-def contains(words: list[str], text: str, least: int, altered: float) -> bool:
-    """Whether the squeezed text holds at least ``least`` successive words, at most the share ``altered`` of them wrong; the
-    stretch begins and ends with right words."""
+def contains(words: list[str], body: str, least: int, altered: float, doc_words: Callable[[], list[str]] | None = None) -> bool:
+    """Whether a document holds at least ``least`` successive words of an item, at most the share ``altered`` of them wrong; the
+    stretch begins and ends with right words. ``body`` is the document squeezed, ``doc_words`` gives its words.
+
+    Three steps: words that stand nowhere in the text rule most candidates out; a straight alignment of the squeezed text, to which
+    spacing makes no difference, lets most leaks in; what is left is decided by an alignment of the words that is exact.
+    """
+    if not _window([0 if w in body else 1 for w in words], least, altered):
+        return False
     done = set()
     for j in range(len(words) - 2):
         seed = words[j] + words[j + 1] + words[j + 2]
-        o = text.find(seed)
+        o = body.find(seed)
         while o >= 0:
             if (j, o) not in done:
-                back, ahead = _after(words, text, j, o, -1), _after(words, text, j, o, 1)
-                chain = [*back[::-1], (j, 0), *ahead]
+                back, ahead = _after(words, body, j, o, -1), _after(words, body, j, o, 1)
                 spot = o
                 for k in range(j, len(words) - 2):  # seeds along the same straight stretch
-                    if not text.startswith(words[k], spot):
+                    if not body.startswith(words[k], spot):
                         break
                     done.add((k, spot))
                     spot += len(words[k])
-                if _window([c for _, c in chain], least, altered):
+                if _window([c for _, c in [*back[::-1], (j, 0), *ahead]], least, altered):
                     return True
-            o = text.find(seed, o + 1)
-    return False
+            o = body.find(seed, o + 1)
+    return doc_words is not None and _aligned(words, doc_words(), least, altered)
 
 
-def _window(costs: list[int], least: int, altered: float) -> bool:
-    n = len(costs)
-    if n < least:
+def _aligned(words: list[str], doc: list[str], least: int, altered: float) -> bool:
+    """Exact: the best alignment over all pairs of stretches. An item word gains ``altered`` and costs 1 if it is changed or
+    missing, a word put in between costs 1; a stretch of ``least`` words with a score of at least 0 is a leak."""
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    a, d = np.array([number[w] for w in words]), np.array([number.get(w, -1) for w in doc])
+    if len(a) < least or not len(d):
         return False
-    total = np.concatenate([[0], np.cumsum(costs)])
-    for a in range(n - least + 1):
-        if costs[a]:
-            continue
-        b = np.arange(a + least, n + 1)
-        wrong = total[b] - total[a]
-        right_end = np.array(costs)[b - 1] == 0
-        if (right_end & (wrong <= altered * (b - a) + 1e-9)).any():
+    pairs = np.unique(a[:-1] * len(number) + a[1:])
+    seeds = np.flatnonzero((d[:-1] >= 0) & (d[1:] >= 0) & np.isin(d[:-1] * len(number) + d[1:], pairs))
+    if not len(seeds):
+        return False
+    cuts = np.flatnonzero(np.diff(seeds) > 2 * least) + 1  # a stretch has no longer way without two right words in a row
+    for part in np.split(seeds, cuts):
+        if _best(a, d[max(0, part[0] - least) : part[-1] + least + 2], least, altered):
+            return True
+    return False
+
+
+def _best(a: np.ndarray, d: np.ndarray, least: int, altered: float) -> bool:
+    n, m = len(a), len(d)
+    place = np.arange(m + 1)
+    score = np.empty((0, m + 1))  # by first word of the stretch and by words of the document used
+    first = np.empty(0, dtype=int)
+    for i in range(n):
+        right = np.concatenate([[False], d == a[i]])
+        if len(first):
+            moved = np.concatenate([np.full((len(first), 1), -np.inf), score[:, :-1]], axis=1)
+            matched = np.where(right, moved + altered, -np.inf)
+            if (matched[first <= i - least + 1] >= -1e-9).any():
+                return True
+            score = np.maximum(np.maximum(matched, moved + altered - 1), score + altered - 1)
+        score = np.concatenate([score, np.where(right, altered, -np.inf)[None]])
+        first = np.append(first, i)
+        score = np.maximum.accumulate(score + place, axis=1) - place  # words put in between
+        alive = score.max(axis=1) + altered * (n - 1 - i) >= -1e-9
+        score, first = score[alive], first[alive]
+    return False
+
+
+def _window(costs: list[float], least: int, altered: float) -> bool:
+    """Whether a stretch of at least ``least`` has a mean cost of at most ``altered`` and no cost at its ends."""
+    value, lowest = [0.0], np.inf
+    for c in costs:
+        value.append(value[-1] + altered - c)
+    for b in range(least, len(costs) + 1):
+        a = b - least
+        if not costs[a]:
+            lowest = min(lowest, value[a])
+        if not costs[b - 1] and value[b] - lowest >= -1e-9:
             return True
     return False
 
@@ -290,11 +333,12 @@ def _search(shared, least: int, altered: float):
                 part = batch.slice(lo, 1_000)
                 texts, ids = part.column("text"), part.column("doc_id")
                 found = []
-                last, body = None, ""
+                last, body, words = None, "", None
                 for t, i in retrieve(index, texts):
                     if t != last:
-                        last, body = t, squeezed(texts[int(t)].as_py())
-                    if contains(index.words[i], body, least, altered):
+                        last, raw = t, texts[int(t)].as_py()
+                        body, words = squeezed(raw), cache(lambda raw=raw: document_words(raw))
+                    if contains(index.words[i], body, least, altered, words):
                         q = index.questions[i]
                         found.append((ids[int(t)].as_py(), int(index.items[i]), sum(w in body for w in q) / len(q) if q else None, bool(index.answers[i]) and index.answers[i] in body))
                 if found:

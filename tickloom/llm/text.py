@@ -16,6 +16,9 @@ _PAGE = (
 NUMBER = r"(?m)^[ \t]*(?:<p>)?[ \t]*(?:\[\d{1,3}\]|\(\d{1,3}\)|§ ?\d{1,3}|\d{1,3}\.)(?:<p>|[ \t])+"
 _TAG = r"<[^<>\n]{1,40}>"
 _page, _number, _tag = re.compile(_PAGE), re.compile(NUMBER), re.compile(_TAG)
+_hyphen = re.compile(r"[-‐‑\xad]\s*\n\s*|\xad")
+# Fixed value: marks that stand for a blacked-out word.
+_blank = re.compile(r"\[(?:redacted|name withheld|\.\.\.|…|omitted)\]|█+|\*{3,}|_{3,}")
 
 
 def sub(texts: pa.Array, pattern: str, by: str) -> pa.Array:
@@ -40,14 +43,25 @@ def rough_words(texts: pa.Array) -> pa.Array:
     return pc.split_pattern(pc.utf8_trim_whitespace(t), " ")
 
 
-def squeezed(text: str) -> str:
-    """Lower-case letters and digits only, without markup, page headers and numbers of paragraphs."""
+def cleaned(text: str) -> str:
+    """Lower-case text without markup, page headers and numbers of paragraphs, words at line ends put together again."""
     t = _page.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
-    t = html.unescape(_tag.sub(" ", _number.sub("\n", t)))
-    return "".join(c for c in t.lower() if c.isalnum())
+    t = html.unescape(_tag.sub(" ", _number.sub("\n", t))).lower()
+    return _blank.sub(" \u2588 ", _hyphen.sub("", t))
+
+
+def squeezed(text: str) -> str:
+    """Lower-case letters and digits only, of the cleaned text."""
+    return "".join(c for c in cleaned(text) if c.isalnum())
 
 
 def squeezed_words(text: str) -> list[str]:
     """Words between blanks, reduced to lower-case letters and digits."""
     words = ("".join(c for c in w if c.isalnum()) for w in text.lower().split())
     return [w for w in words if w]
+
+
+def document_words(text: str) -> list[str]:
+    """Words of the cleaned text; what was blacked out counts as one word."""
+    words = ("\u2588" if "\u2588" in w else "".join(c for c in w if c.isalnum()) for w in cleaned(text).split())
+    return [w for w in words if w]
