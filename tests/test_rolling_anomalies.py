@@ -1,0 +1,198 @@
+import datetime as dt
+import math
+import random
+from statistics import median
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import rows
+from tickloom.operators import anomalies
+from tickloom.operators.anomalies import implausible_readings, radix_bin
+from tickloom.operators.quantiles import order_statistics
+from tickloom.operators.rolling import build_tree, correct_saved_tree, cover, latest_revision, range_totals, save_tree, trailing_totals, update_tree
+
+DAY = dt.date(2024, 1, 1)
+
+
+def test_cover_is_exact_and_small(spark):
+    r = random.Random(2)
+    ranges = [(a, a + r.randint(0, 200)) for a in (r.randint(0, 20_000) for _ in range(100))] + [(5, 4), (0, 0), (64, 127)]
+    df = spark.createDataFrame(ranges, "a bigint, b bigint")
+    for a, b, nodes in df.select("a", "b", cover(F.col("a"), F.col("b"))).collect():
+        days = [d for level, node in nodes for d in range(node << level, (node + 1) << level)]
+        assert sorted(days) == list(range(a, b + 1))
+        assert len(nodes) <= 12 + (b - a) // 64 + 1
+
+
+@pytest.fixture(scope="module")
+def sales(spark):
+    r = random.Random(6)
+    data = [(r.choice("ab"), DAY + dt.timedelta(days=r.randint(0, 150)), r.choice([None, r.randint(1, 9)])) for _ in range(60)]
+    return data, spark.createDataFrame(data, "k string, d date, v int")
+
+
+def _trailing(data, n):
+    out = {}
+    for k in {d[0] for d in data}:
+        own = [(d, v or 0) for q, d, v in data if q == k]
+        day = min(d for d, _ in own)
+        while day <= max(d for d, _ in own):
+            out[k, day] = sum(v for d, v in own if dt.timedelta(0) <= day - d < dt.timedelta(days=n))
+            day += dt.timedelta(days=1)
+    return out
+
+
+def test_trailing_totals(spark, sales):
+    data, df = sales
+    tree = build_tree(df, ["k"], "d", {"v": F.col("v")})
+    got = {(r.k, r.day): (r.v_7, r.v_30, r.v_100) for r in trailing_totals(tree, ["k"], ["v"], (7, 30, 100)).collect()}
+    want = [_trailing(data, n) for n in (7, 30, 100)]
+    assert got == {k: tuple(w[k] for w in want) for k in want[0]}
+
+
+def test_corrections_touch_ancestors_only(spark, sales, tmp_path):
+    data, df = sales
+    tree = build_tree(df, ["k"], "d", {"v": F.col("v")})
+    late = spark.createDataFrame([("a", DAY + dt.timedelta(days=40), 5), ("a", DAY + dt.timedelta(days=40), -2), ("b", DAY + dt.timedelta(days=149), 4)], "k string, d date, v int")
+    fixed = update_tree(tree, late, ["k"], "d", ["v"])
+    again = build_tree(df.unionByName(late), ["k"], "d", {"v": F.col("v")})
+    cols = ["k", "shard", "level", "node", "v"]
+    assert rows(fixed.select(cols)) == rows(again.select(cols))
+    changed = set(rows(fixed.select(cols))) - set(rows(tree.select(cols)))
+    assert len(changed) <= 2 * 7
+    path = str(tmp_path / "tree")
+    save_tree(tree, path)
+    before = {str(p): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    correct_saved_tree(spark, path, late, ["k"], "d", ["v"])
+    assert rows(spark.read.parquet(path).select(cols)) == rows(again.select(cols))
+    after = {str(p): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert set(before.items()) & set(after.items())  # untouched shards keep their files
+
+
+def test_rolling_edges(spark):
+    empty = spark.createDataFrame([], "k string, d date, v int")
+    assert trailing_totals(build_tree(empty, ["k"], "d", {"v": F.col("v")}), ["k"], ["v"]).count() == 0
+    odd = spark.createDataFrame([(None, DAY, 1), ("a", None, 1), ("a", DAY, None)], "k string, d date, v int").withColumn("node", F.lit("x"))
+    tree = build_tree(odd, ["k"], "d", {"total": F.col("v")})
+    assert rows(trailing_totals(tree, ["k"], ["total"])) == [("a", DAY, 0, 0)]
+    asked = spark.createDataFrame([("zz", 1, 5, "x")], "k string, first_day bigint, last_day bigint, tag string")
+    assert rows(range_totals(tree, asked, ["k"], ["total"])) == [("zz", 1, 5, "x", 0)]
+    with pytest.raises(ValueError):
+        build_tree(odd, ["k"], "d", {"day": F.col("v")})
+
+
+def test_latest_revision(spark):
+    df = spark.createDataFrame([(1, 0, "a"), (1, 2, None), (1, 2, None), (1, 1, "c"), (2, None, "x"), (2, 0, "y"), (None, 5, "z"), (3, None, "w")], "id int, rev int, v string")
+    assert rows(latest_revision(df, "id", "rev", ["v"])) == [(1, None), (2, "y"), (3, "w")]
+
+
+def test_order_statistics(spark):
+    r = random.Random(8)
+    data = [("x", float(r.randint(0, 400)) / 7) for _ in range(999)] + [("y", 3.0)]
+    df = spark.createDataFrame([(k, int(radix_bin(np.array([v]))[0]), v, 1) for k, v in data], "k string, bin long, value double, n long")
+    total = F.col("total")
+    got = {x.k: x.statistic for x in order_statistics(df, ["k"], F.ceil(total / 2), F.floor(total / 2) + 1).collect()}
+    assert got == {k: median(v for q, v in data if q == k) for k in "xy"}
+    covering = {x.k: x.statistic for x in order_statistics(df, ["k"], F.ceil(total * 0.95), F.ceil(total * 0.95)).collect()}
+    assert covering["x"] == sorted(v for q, v in data if q == "x")[math.ceil(999 * 0.95) - 1]
+
+
+SCHEMA = "symbol string, timestamp timestamp_ntz, tick_id bigint, price double, size bigint"
+
+
+def _brute(data):
+    """The definition, reading by reading."""
+    found = set()
+    for sym in {d[0] for d in data if d[0]}:
+        own = sorted({d for d in data if d[0] == sym and d[1] and d[2] is not None}, key=lambda d: (d[1], d[2]))
+        for field, col in (("price", 3), ("size", 4)):
+            ok = (lambda v: math.isfinite(v) and v > 0) if field == "price" else (lambda v: v >= 1)
+            seen = [(d[2], d[col]) for d in own if d[col] is not None]
+            found |= {(i, field) for i, v in seen if not ok(v)}
+            good = [(i, v) for i, v in seen if ok(v)]
+            if len(good) < 60:
+                continue
+            values = [v for _, v in good]
+            if field == "size":
+                found |= {(i, field) for i, v in good if v > 20 * median(values)}
+            else:
+                change = sorted(abs(a - b) for a, b in zip(values, values[1:]))
+                step = change[math.ceil(len(change) * 0.95 - 1e-9) - 1]
+                for n, (i, v) in enumerate(good):
+                    sides = [x for x in (values[max(0, n - 7) : n], values[n + 1 : n + 8]) if x]
+                    if all(abs(v - median(x)) > 6 * step * (1 + 1e-9) for x in sides):
+                        found.add((i, field))
+            same = [False] + [a[1] == b[1] for a, b in zip(seen, seen[1:])]
+            q = sum(same) / len(seen)
+            n = 0
+            while n < len(seen):
+                m = n + 1
+                while m < len(seen) and same[m]:
+                    m += 1
+                if m - n > 1 and q ** (m - n - 1) < 1e-9:
+                    found |= {(seen[j][0], field) for j in range(n + 1, m)}
+                n = m
+    return found
+
+
+def _series(r, sym, n, first, base):
+    out, p = [], base
+    for i in range(n):
+        p = round(p + r.choice([-2, -1, 0, 1, 2]) * 0.01, 2)
+        out.append([sym, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=r.randint(0, 40_000)), first + i, p, r.randint(1, 60) * 10])
+    out.sort(key=lambda d: (d[1], d[2]))
+    for i in range(n):  # prices follow the time
+        out[i][3] = base + round(math.sin(i / 30) * 0.5, 2) + r.choice([0, 0.01, -0.01])
+    return out
+
+
+@pytest.fixture(scope="module")
+def dirty():
+    r = random.Random(11)
+    data = _series(r, "HOT", 2_000, 0, 100.0) + _series(r, "LOW", 90, 5_000, 10.0) + _series(r, "FEW", 30, 6_000, 5.0)
+    for d in r.sample(data, 60):
+        d[3] = r.choice([None, float("nan"), float("inf"), 0.0, -1.0, d[3] * 3, d[3] * 0.2])
+    for d in r.sample(data, 40):
+        d[4] = r.choice([None, 0, -5, d[4] * 100])
+    for a in (100, 900, 1_500):
+        for i in range(a, a + 40):
+            data[i][3] = data[a][3]
+        for i in range(a + 50, a + 80):
+            data[i][4] = 77
+    for i in range(1_000, 1_400):
+        if data[i][3] is not None:
+            data[i][3] += 30  # a level shift there and back
+    data = [tuple(d) for d in data]
+    return data + r.sample(data, 200) + [(None, dt.datetime(2024, 1, 1), 9_001, -1.0, -1), ("HOT", None, 9_002, -1.0, -1)]
+
+
+@pytest.mark.parametrize("shards", [1, 3, 60])
+def test_implausible_against_brute_force(spark, dirty, shards, monkeypatch):
+    """The same findings however the series are cut."""
+    from tickloom.operators import sharding
+
+    monkeypatch.setattr(sharding, "partitions_for", lambda df, mb: shards)
+    df = spark.createDataFrame(dirty, SCHEMA).withColumn("shard", F.lit("x"))
+    out = implausible_readings(df)
+    got = {(r.id, r.field) for r in out.where("kind <> 'shift'").collect()}
+    want = _brute(dirty)
+    assert got == want and {k for _, k in want} == {"price", "size"}
+    assert {"limit", "spike", "stuck", "shift"} == {r.kind for r in out.select("kind").distinct().collect()}
+
+
+def test_implausible_passes_and_edges(spark, dirty):
+    assert implausible_readings(spark.createDataFrame([], SCHEMA)).count() == 0
+    nulls = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), 1, None, None)] * 3, SCHEMA)
+    assert implausible_readings(nulls).count() == 0
+    constant = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), i, 5.0, 5) for i in range(100)], SCHEMA)
+    assert implausible_readings(constant).count() == 0
+    df = spark.createDataFrame(dirty, SCHEMA)
+    once, more = ({(r.id, r.field, r.kind) for r in implausible_readings(df, passes=p).where("kind = 'spike'").collect()} for p in (1, 3))
+    assert once <= more
+
+
+def test_row_medians_and_levels():
+    before, after = anomalies.side_levels(np.array([1.0, 2.0, 3.0]), 2, np.array([9.0]), np.array([]))
+    assert before.tolist() == [9.0, 5.0, 1.5] and after[:2].tolist() == [2.5, 3.0] and np.isnan(after[2])

@@ -1,0 +1,136 @@
+import datetime as dt
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import rows
+from tickloom.operators.grid import regular_grid
+from tickloom.operators.nearest import nearest_match
+from tickloom.operators.salted import heavy_keys, key_shares, salted_aggregate
+
+D = dt.datetime
+T0 = D(2024, 1, 1, 9)
+
+
+def s(seconds):
+    return T0 + dt.timedelta(seconds=seconds)
+
+
+def test_salted_aggregate_against_plain(spark):
+    r = random.Random(1)
+    data = [(r.choice(["HOT"] * 8 + ["a", "b", None]), r.choice([None, float(r.randint(1, 9))]), r.randint(1, 50)) for _ in range(3_000)]
+    df = spark.createDataFrame(data, "k string, x double, t int")
+    out = salted_aggregate(df, ["k"], {"n": ("count",), "nx": ("count", "x"), "s": ("sum", "x"), "lo": ("min", "x"), "hi": ("max", "x"), "m": ("avg", "x"), "f": ("first", "x", "t"), "l": ("last", "x", "t")}, salts=5, heavy_share=0.2)
+    want = {}
+    for k in {d[0] for d in data}:
+        own = [(x, t) for q, x, t in data if q == k]
+        v = [(t, x) for x, t in own if x is not None]
+        xs = [x for _, x in v]
+        want[k] = (len(own), len(xs), sum(xs), min(xs), max(xs), pytest.approx(sum(xs) / len(xs)), min(v)[1], max(v)[1])
+    assert {row[0]: tuple(row)[1:] for row in out.collect()} == want
+    assert [tuple(x) for x in heavy_keys(df, ["k"], 0.5).collect()] == [("HOT",)]
+
+
+def test_salted_plan_has_no_python_and_bounded_broadcast(spark):
+    df = spark.createDataFrame([("a", 1.0)], "k string, x double")
+    plan = salted_aggregate(df, ["k"], {"s": ("sum", "x")})._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+def test_salted_edges(spark):
+    empty = spark.createDataFrame([], "k string, x double")
+    assert salted_aggregate(empty, ["k"], {"n": ("count",)}).count() == 0 and key_shares(empty, "k", least=0.1).count() == 0
+    df = spark.createDataFrame([(None, None, 1), (None, 2.0, 1), ("a", None, 2)], "k string, x double, __salt int")
+    assert rows(salted_aggregate(df, ["k"], {"s": ("sum", "x"), "m": ("avg", "x")})) == [("a", None, None), (None, 2.0, 2.0)]
+    with pytest.raises(ValueError):
+        salted_aggregate(df, ["k"], {"s": ("median", "x")})
+    with pytest.raises(ValueError):
+        salted_aggregate(df, ["nope"], {"n": ("count",)})
+
+
+def test_key_shares(spark):
+    df = spark.createDataFrame([("a",)] * 6 + [("b",)] * 2 + [(None,)] * 2, "k string")
+    assert rows(key_shares(df, "k")) == [("a", 6, 0.6), ("b", 2, 0.2)]
+    assert rows(key_shares(df, "k", least=0.6)) == [("a", 6, 0.6)]
+
+
+GRID = "k string, t timestamp_ntz, v double, slot_start int"
+
+
+def test_grid(spark):
+    df = spark.createDataFrame([("a", s(0), 1.0, 0), ("a", s(100), 2.0, 0), ("a", s(100), 3.0, 0), ("a", s(3600 + 1800), 6.0, 0), ("a", s(8 * 3600), 9.0, 0), ("b", s(60), 5.0, 0), ("b", s(60), 5.0, 0), (None, s(0), 1.0, 0), ("a", None, 1.0, 0), ("a", s(5), None, 0), ("a", s(5), float("nan"), 0)], GRID)
+    got = {(r.k, r.slot_start): (r.value, r.status) for r in regular_grid(df, ["k"], "t", "v", "30m", max_fill=3).collect()}
+    a = {t: x for (k, t), x in got.items() if k == "a"}
+    assert len(a) == 17 and a[s(0)] == (3.0, "observed")
+    assert a[s(1800)] == (pytest.approx(3 + 3 * 1700 / 5300), "interpolated") and a[s(3600)][1] == "interpolated"
+    assert a[s(7200)] == (None, "gap") and a[s(8 * 3600)] == (9.0, "observed")
+    assert {t: x for (k, t), x in got.items() if k == "b"} == {s(0): (5.0, "observed")}
+
+
+def test_grid_bounds(spark):
+    df = spark.createDataFrame([("a", s(0), 1.0, 0), ("a", s(86_400 + 60), 2.0, 0)], GRID)
+    days = regular_grid(df, ["k"], "t", "v", "6h", per_day=True, bounds="day").collect()
+    assert Counter(r.status for r in days) == {"observed": 2, "leading": 2, "trailing": 4}
+    assert sorted(r.slot_start for r in days) == [D(2024, 1, d, h) for d in (1, 2) for h in (0, 6, 12, 18)]
+    fixed = {r.slot_start: (r.value, r.status) for r in regular_grid(df, ["k"], "t", "v", "1d", bounds=(D(2023, 12, 31), D(2024, 1, 3, 5))).collect()}
+    assert fixed == {D(2023, 12, 31): (None, "leading"), D(2024, 1, 1): (1.0, "observed"), D(2024, 1, 2): (2.0, "observed"), D(2024, 1, 3): (2.0, "trailing")}
+    assert regular_grid(spark.createDataFrame([], GRID), ["k"], "t", "v", "1h").count() == 0
+    for bad in ({"step": "1mo"}, {"step": "0s"}, {"step": "1h", "bounds": "day"}):
+        with pytest.raises(ValueError):
+            regular_grid(df, ["k"], "t", "v", **bad)
+
+
+def test_grid_against_brute_force(spark):
+    r = random.Random(4)
+    data = [(r.choice("ab"), s(r.randint(0, 200_000)), float(r.randint(1, 99)), 0) for _ in range(150)]
+    got = {(x.k, x.slot_start): (x.status) for x in regular_grid(spark.createDataFrame(data, GRID), ["k"], "t", "v", "30m", per_day=True).collect()}
+    want = {}
+    slot = lambda t: t.replace(minute=t.minute // 30 * 30, second=0)
+    by = defaultdict(set)
+    for k, t, *_ in data:
+        by[k, t.date()].add(slot(t))
+    for (k, _), slots in by.items():
+        t = min(slots)
+        while t <= max(slots):
+            want[k, t] = t in slots
+            t += dt.timedelta(minutes=30)
+    assert {k: v == "observed" for k, v in got.items()} == want
+
+
+LEFT, RIGHT = "q bigint, k string, t timestamp_ntz", "i bigint, k string, t timestamp_ntz"
+HOW = {"left_key": "k", "left_time": "t", "left_id": "q", "right_key": "k", "right_time": "t", "right_id": "i"}
+
+
+def _brute(left, right, tol):
+    out = []
+    for q, k, t in left:
+        best = min(((abs(t - u), u, i) for i, j, u in right if j == k and k is not None and u is not None and t is not None and abs(t - u) <= tol), default=None)
+        out.append((q, best[2] if best else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seconds", [0, 1, 2, 40, 5_000])
+def test_nearest_against_brute_force(spark, seconds):
+    r = random.Random(seconds)
+    right = [(i, r.choice("ab"), s(r.randint(0, 900)) if r.random() > 0.05 else None) for i in range(150)]
+    left = [(i, r.choice(["a", "b", "c", None]), s(r.randint(-50, 1_000)) if r.random() > 0.05 else None) for i in range(150)]
+    tol = dt.timedelta(seconds=seconds)
+    out = nearest_match(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT), **HOW, tolerance=tol, keep_unmatched=True)
+    assert sorted(((x.left_id, x.right_id) for x in out.collect()), key=str) == _brute(left, right, tol)
+    kept = nearest_match(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT), **HOW, tolerance=tol)
+    assert sorted(((x.left_id, x.right_id) for x in kept.collect()), key=str) == [x for x in _brute(left, right, tol) if x[1] is not None]
+
+
+def test_nearest_ties_and_edges(spark):
+    right = spark.createDataFrame([(5, "a", s(0)), (3, "a", s(0)), (7, "a", s(4)), (9, "a", s(100))], RIGHT).withColumn("bin", F.lit("x"))
+    left = spark.createDataFrame([(1, "a", s(2)), (1, "a", s(2)), (2, "a", s(6)), (3, "a", s(103))], LEFT).withColumn("us", F.lit(0))
+    got = sorted((x.left_id, x.right_id, x.offset_us) for x in nearest_match(left, right, **HOW, tolerance="2s").collect())
+    assert got == [(1, 3, -2_000_000), (1, 3, -2_000_000), (2, 7, -2_000_000)]
+    none = spark.createDataFrame([], RIGHT)
+    assert nearest_match(left, none, **HOW, tolerance="2s").count() == 0
+    assert nearest_match(left, none, **HOW, tolerance="2s", keep_unmatched=True).count() == 4
+    assert nearest_match(spark.createDataFrame([], LEFT), right, **HOW, tolerance="2s").count() == 0
+    with pytest.raises(ValueError):
+        nearest_match(left, right, **HOW, tolerance="1mo")

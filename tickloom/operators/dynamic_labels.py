@@ -38,7 +38,8 @@ def daily_vol(df: DataFrame, *, span: int = 100, tie_breakers: Sequence[str] = (
     key_names = [sym] if keys else []
     # Equal times: the last row by the tie-breakers, as a sorted as-of lookup would take it.
     back = Window.partitionBy(*(col(k) for k in key_names)).orderBy("__us").rangeBetween(_FIRST, -DAY_US)
-    earlier = F.max_by("__p", F.struct("__us", "__tie")).over(back)
+    # A null time sorts before all others, so its rows lie in every frame; without an ordering value max_by passes over them.
+    earlier = F.max_by("__p", F.when(F.col("__us").isNotNull(), F.struct("__us", "__tie"))).over(back)
     moved = rows.select(*(col(k).alias("__k") for k in key_names), "__t", "__us", "__tie", (F.try_divide(F.col("__p"), earlier) - 1).alias("__r"))
     order = ["__us", *(f"__o{i}" for i in range(len(tie_breakers) + 1))]
     flat = moved.select(*(["__k"] if keys else []), "__t", "__us", "__r", *(F.col(f"__tie.`{f.name}`").alias(f"__o{i}") for i, f in enumerate(moved.schema["__tie"].dataType.fields)))

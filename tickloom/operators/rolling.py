@@ -82,6 +82,10 @@ def correct_saved_tree(spark, path: str, corrections: DataFrame, keys: Sequence[
     new.repartition("shard", "level").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
 
 
+def _node(level: int):
+    return lambda x: F.struct(F.lit(level).alias("level"), x.alias("node"))
+
+
 def cover(first: Column, last: Column, height: int = HEIGHT) -> Column:
     """The fewest nodes (level, node) that make up the days first..last: at most two per level below the top."""
     parts = []
@@ -89,7 +93,7 @@ def cover(first: Column, last: Column, height: int = HEIGHT) -> Column:
         size = F.lit(1 << level).cast("long")
         lo = _up(first + size - 1, level)
         hi = _up(last + 1, level)
-        node = lambda x, level=level: F.struct(F.lit(level).alias("level"), x.alias("node"))
+        node = _node(level)
         open_ = lo < hi
         if level == height:
             parts.append(F.when(open_, F.transform(F.sequence(lo, hi - 1), node)).otherwise(F.array().cast("array<struct<level:int,node:bigint>>")))

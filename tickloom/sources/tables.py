@@ -40,8 +40,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the frame; of a scan, the files' bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the files and tables that the plan reads. Leaves of unknown size (Catalyst's default for them is the largest long)
+    count as 0; sizes above the leaves are not used, as joins are estimated by the product of their sides."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def partitions_for(df: DataFrame, mb: int = 32) -> int:
