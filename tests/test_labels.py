@@ -57,7 +57,8 @@ def test_daily_vol_per_symbol_and_dirty(spark):
     by = {}
     for r in out.where("symbol is not null and timestamp is not null").orderBy("timestamp").collect():
         by.setdefault(r.symbol, []).append(r[2])
-    assert by["A"] == by["B"]
+    assert [x is None for x in by["A"]] == [x is None for x in by["B"]]
+    assert [x for x in by["A"] if x is not None] == pytest.approx([x for x in by["B"] if x is not None])
     p = pd.Series([r[1] for r in data if r[2] == "A" and r[0]], index=[r[0] for r in data if r[2] == "A" and r[0]])
     ret = pd.Series([p[t] / p[p.index <= t - dt.timedelta(days=1)].iloc[-1] - 1 if (p.index <= t - dt.timedelta(days=1)).any() else None for t in p.index], dtype=float)
     want = ret.ewm(span=3).std().fillna(0).where(ret.notna())

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tickloom.config import column_names
 from tickloom.functions.columns import INTEGRAL, NUMERIC, col, require, require_type
-from tickloom.functions.durations import bucket_start, parse_duration
-from tickloom.functions.ordering import ordered
+from tickloom.functions.durations import DAY_US, bucket_start, parse_duration, to_micros
+from tickloom.operators.blocks import running_totals, solid, time_bucket
 
 _ORDER = "__order"
 
@@ -68,6 +68,18 @@ def _day_key(split_by_date: bool) -> list[Column]:
     return [F.to_date("__t").alias("__d")] if split_by_date else []
 
 
+def _running(trades: DataFrame, split_by_date: bool, amount: Column) -> DataFrame:
+    """Trades with the running total ``__hi`` of amount per symbol[, day] and the keys __key, __day that are never null."""
+    us = to_micros(F.col("__t"))
+    day = time_bucket(us, DAY_US) if split_by_date else F.lit(0).cast("long")
+    keyed = trades.withColumns({"__key": solid(F.col("__sym")), "__day": day, "__hour": time_bucket(us)})
+    return running_totals(keyed, ["__key", "__day"], "__hour", _ORDER, amount, "__hi")
+
+
+def _symbol() -> Column:
+    return F.when(F.col("__key") != "", F.expr("substring(__key, 2)"))
+
+
 def _check_size(bar_size: float) -> None:
     if not bar_size > 0:
         raise ValueError(f"bar_size must be above 0, not {bar_size}")
@@ -87,13 +99,13 @@ def time_bars(df: DataFrame, *, bar_size: str = "1m", tie_breakers: Sequence[str
 def tick_bars(df: DataFrame, *, bar_size: int = 100, split_by_date: bool = True, tie_breakers: Sequence[str] | None = None, sort: bool = False) -> DataFrame:
     """Bars of ``bar_size`` trades per symbol, counted anew each day unless ``split_by_date`` is off.
 
-    The window and the aggregate share one exchange on (symbol[, date]).
+    Trades are numbered within (symbol, hour) and the counts of earlier hours added, so no task orders a symbol's whole history;
+    bars are then combined on the map side.
     """
     _check_size(bar_size)
-    trades = _trades(df, tie_breakers).select("*", *_day_key(split_by_date))
-    keys = ["__sym", *(["__d"] if split_by_date else [])]
-    numbered = trades.withColumn("__bar", F.floor((F.row_number().over(ordered(keys, [_ORDER])) - 1) / F.lit(int(bar_size))))
-    return _result(numbered.groupBy(*keys, "__bar").agg(*_ohlcv()), sort=sort)
+    numbered = _running(_trades(df, tie_breakers), split_by_date, F.lit(1).cast("long"))
+    bars = numbered.withColumn("__bar", F.call_function("div", F.col("__hi") - 1, F.lit(int(bar_size)))).groupBy("__key", "__day", "__bar").agg(*_ohlcv())
+    return _result(bars.withColumn("__sym", _symbol()), sort=sort)
 
 
 def volume_bars(df: DataFrame, *, bar_size: int = 10_000, split_by_date: bool = True, tie_breakers: Sequence[str] | None = None, sort: bool = False) -> DataFrame:
@@ -105,18 +117,16 @@ def volume_bars(df: DataFrame, *, bar_size: int = 10_000, split_by_date: bool =
     _check_size(bar_size)
     trades = _trades(df, tie_breakers, positive_size=True)
     require_type(trades, "__s", INTEGRAL, "integral for volume bars")
-    trades = trades.withColumn("__s", F.col("__s").cast("long")).select("*", *_day_key(split_by_date))
-    keys = ["__sym", *(["__d"] if split_by_date else [])]
-    running = ordered(keys, [_ORDER]).rowsBetween(-(2**63), 0)
+    running = _running(trades.withColumn("__s", F.col("__s").cast("long")), split_by_date, F.col("__s"))
     b = F.lit(int(bar_size)).cast("long")
     hi, lo, bar = F.col("__hi"), F.col("__hi") - F.col("__s"), F.col("__bar")
     div = lambda x: F.call_function("div", x, b)
     pieces = (
-        trades.withColumn("__hi", F.sum("__s").over(running))
-        .withColumn("__bar", F.explode(F.sequence(div(lo), div(hi - 1))))
+        running.withColumn("__bar", F.explode(F.sequence(div(lo), div(hi - 1))))
         .withColumn("__s", F.least(hi, (bar + 1) * b) - F.greatest(lo, bar * b))
     )
-    return _result(pieces.groupBy(*keys, "__bar").agg(*_ohlcv()), sort=sort)
+    bars = pieces.groupBy("__key", "__day", "__bar").agg(*_ohlcv())
+    return _result(bars.withColumn("__sym", _symbol()), sort=sort)
 
 
 def dollar_pieces(prices: Sequence[float], sizes: Sequence[int], bar_size: float) -> Iterator[tuple[int, int, int]]:

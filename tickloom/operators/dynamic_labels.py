@@ -1,6 +1,6 @@
 """Daily volatility, vertical barriers, profit-taking and stop-loss touches, triple-barrier labels.
 
-The as-of lookups are RANGE windows over the same rows, so no self-join is planned.
+The as-of lookups are windows over observations and questions merged on one time axis, so no self-join is planned.
 """
 
 from __future__ import annotations
@@ -8,21 +8,17 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.config import column_names
 from tickloom.functions.columns import col, require
-from tickloom.functions.durations import DAY_US, parse_duration, shifted, to_micros
+from tickloom.functions.durations import DAY_US, from_micros, parse_duration, shifted, to_micros
+from tickloom.operators.blocks import asof, ewm_std, solid
 
 _FIRST = Window.unboundedPreceding
 
 
-def _partition(df: DataFrame, symbol: str) -> list[Column]:
-    return [col(symbol)] if symbol in df.columns else []
-
-
 def daily_vol(df: DataFrame, *, span: int = 100, tie_breakers: Sequence[str] = ()) -> DataFrame:
     """Exponentially weighted standard deviation of the return over 24 hours, one output row per input row.
 
@@ -32,49 +28,32 @@ def daily_vol(df: DataFrame, *, span: int = 100, tie_breakers: Sequence[str] = (
     """
     ts, sym, price = column_names.timestamp, column_names.symbol, column_names.price
     require(df, ts, price, *tie_breakers)
-    keys = _partition(df, sym)
+    keys = [sym] if sym in df.columns else []
     p = col(price).cast("double")
-    rows = df.select(*keys, col(ts).alias("__t"), p.alias("__p"), to_micros(col(ts)).alias("__us"), F.struct(*(col(c) for c in tie_breakers), p).alias("__tie"))
-    key_names = [sym] if keys else []
-    # Equal times: the last row by the tie-breakers, as a sorted as-of lookup would take it.
-    back = Window.partitionBy(*(col(k) for k in key_names)).orderBy("__us").rangeBetween(_FIRST, -DAY_US)
-    # A null time sorts before all others, so its rows lie in every frame; without an ordering value max_by passes over them.
-    earlier = F.max_by("__p", F.when(F.col("__us").isNotNull(), F.struct("__us", "__tie"))).over(back)
-    moved = rows.select(*(col(k).alias("__k") for k in key_names), "__t", "__us", "__tie", (F.try_divide(F.col("__p"), earlier) - 1).alias("__r"))
-    order = ["__us", *(f"__o{i}" for i in range(len(tie_breakers) + 1))]
-    flat = moved.select(*(["__k"] if keys else []), "__t", "__us", "__r", *(F.col(f"__tie.`{f.name}`").alias(f"__o{i}") for i, f in enumerate(moved.schema["__tie"].dataType.fields)))
-
-    keyed = bool(keys)
-
-    def deviation(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable", na_position="first", ignore_index=True)
-        std = group["__r"].ewm(span=span).std()
-        std = std.mask(std.isna() & group["__r"].notna(), 0.0).where(group["__r"].notna())
-        out = pd.DataFrame({"__t": group["__t"], "__v": std.astype("float64")})
-        if keyed:
-            out.insert(0, "__k", group["__k"])
-        return out
-
-    ts_type = df.schema[ts].dataType.simpleString()
-    schema = (f"__k {df.schema[sym].dataType.simpleString()}, " if keys else "") + f"__t {ts_type}, __v double"
-    out = (flat.groupBy("__k") if keys else flat.groupBy()).applyInPandas(deviation, schema)
-    return out.select(F.col("__t").alias(ts), *([F.col("__k").alias(sym)] if keys else []), F.col("__v").alias("daily_return_volatility"))
+    key = solid(col(sym)) if keys else F.lit("")
+    kept = [col(ts).alias("t"), *(col(k).alias("sym") for k in keys)]
+    rows = df.select(*kept, key.alias("k"), to_micros(col(ts)).alias("us"), F.struct(*(col(c).alias(f"o{i}") for i, c in enumerate(tie_breakers)), p.alias("p")).alias("tie"), F.struct(p.alias("p")).alias("value"))
+    found = asof(rows, DAY_US, forward=False)
+    moved = found.withColumn("r", F.try_divide(F.col("value.p"), F.col("found.p")) - 1)
+    out = ewm_std(moved, "k", ["us", "tie"], "r", span, ["t", *(["sym"] if keys else [])], "v")
+    return out.select(F.col("t").alias(ts), *([F.col("sym").alias(sym)] if keys else []), F.col("v").alias("daily_return_volatility"))
 
 
 def get_vertical_barrier_by_timedelta(df: DataFrame, offset: str | dt.timedelta) -> DataFrame:
     """First observation at or after timestamp + offset, of the same symbol if there is such a column; null when none.
 
-    Columns out: timestamp[, symbol], vertical_barrier. A descending RANGE frame keeps the window linear; calendar offsets use the
-    shifted time itself as the key of a second, merged ordering.
+    Columns out: timestamp[, symbol], vertical_barrier. Fixed offsets are looked up within time buckets; calendar offsets order
+    observations and shifted times together per symbol.
     """
     ts, sym = column_names.timestamp, column_names.symbol
     require(df, ts)
     by = parse_duration(offset)
     keys = [sym] if sym in df.columns else []
     if not by.months:
-        frame = Window.partitionBy(*(col(k) for k in keys)).orderBy(F.col("__us").desc()).rangeBetween(_FIRST, -by.micros)
-        rows = df.select(col(ts), *(col(k) for k in keys), to_micros(col(ts)).alias("__us"))
-        return rows.select(col(ts), *(col(k) for k in keys), F.when(F.col("__us").isNotNull(), F.min(col(ts)).over(frame)).alias("vertical_barrier"))
+        key = solid(col(sym)) if keys else F.lit("")
+        rows = df.select(col(ts).alias("t"), *(col(k).alias("sym") for k in keys), key.alias("k"), to_micros(col(ts)).alias("us"), F.lit(0).alias("tie"), col(ts).alias("value"))
+        found = asof(rows, by.micros, forward=True)
+        return found.select(F.col("t").alias(ts), *([F.col("sym").alias(sym)] if keys else []), F.col("found").alias("vertical_barrier"))
     # Calendar: observations and shifted rows merged on one axis, descending; observations come first at equal times.
     base = df.select(col(ts).alias("__t"), *(col(k).alias("__k") for k in keys))
     seen = base.select("*", F.col("__t").alias("__x"), F.lit(0).alias("__q"))
@@ -124,8 +103,6 @@ def _touches(df, prices, target_col, vertical_barrier_col, profit_take, stop_los
     ts, price = column_names.timestamp, column_names.price
     require(df, ts, target_col, vertical_barrier_col)
     require(prices, ts, price)
-    from tickloom.functions.durations import from_micros
-
     # Equal events get equal answers, so the event's own values identify it.
     sym = column_names.symbol
     names = [c for c in dict.fromkeys([sym, ts, target_col, vertical_barrier_col]) if c in df.columns]

@@ -73,6 +73,16 @@ def _frac_diff(spark: SparkSession, directory: str) -> DataFrame:
     return trades(spark, directory).select("event_id", frac_diff.frac_diff("price", 0.5, 1e-3, order_by=["ts_event", "event_id"], partition_by=["symbol"]).alias("fd")).transform(_rounded, "fd")
 
 
+def _frac_diff_blocks(spark: SparkSession, directory: str) -> DataFrame:
+    out = frac_diff.add_frac_diff(trades(spark, directory), "price", 0.5, 1e-3, out="fd", time="ts_event", tie_breakers=["event_id"], partition_by=["symbol"], block=500)
+    return _rounded(out.select("event_id", "fd"), "fd")
+
+
+def _return_blocks(spark: SparkSession, directory: str) -> DataFrame:
+    out = labels.add_fixed_time_return(trades(spark, directory), "price", 5, symbol="symbol", out="ret", time="ts_event", tie_breakers=["event_id"], block=300)
+    return out.select("event_id", "ret")
+
+
 def _triple(spark: SparkSession, directory: str) -> DataFrame:
     with Config(**_NAMES):
         t = trades(spark, directory).where("price > 0")
@@ -101,6 +111,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vertical_barrier_1mo": _barrier("1mo"),
         "daily_vol_span100": _daily_vol,
         "frac_diff": _frac_diff,
+        "frac_diff_blocks": _frac_diff_blocks,
+        "fixed_time_return_blocks": _return_blocks,
         "triple_barrier": _triple,
         "parse_into_expr": _coerced,
     }
@@ -201,6 +213,8 @@ def oracle_sql() -> dict[str, str]:
     v as (select m.symbol, m.ts_event, any_value(m.own) as own, any_value(n) as n, sum(p.w * (p.r - m.m) ** 2) / any_value(m.w) * any_value(m.w) ** 2 / nullif(any_value(m.w) ** 2 - any_value(w2), 0) as var from m join p using (symbol, ts_event) group by m.symbol, m.ts_event)
     select r.symbol, r.ts_event, {_r("case when r.r is null then null when v.n = 1 then 0 else sqrt(v.var) end")} as daily_return_volatility from r left join v using (symbol, ts_event)""",
         "frac_diff": _frac_sql(),
+        "frac_diff_blocks": _frac_sql(),
+        "fixed_time_return_blocks": f"select event_id, ret from ({_RET})",
         "triple_barrier": f"""with t as (select * from ({_T}) where price > 0), e as (select a.symbol, a.ts_event, a.price, b.ts_event as vb from t a asof left join t b on a.symbol = b.symbol and a.ts_event + interval 6 hour <= b.ts_event),
     f as (select e.*, coalesce(vb, (select max(ts_event) from t x where x.symbol = e.symbol)) as fin from e),
     p as (select f.symbol, f.ts_event, f.fin, t.ts_event as u, t.price / f.price - 1 as r from f join t on t.symbol = f.symbol and t.ts_event >= f.ts_event and t.ts_event <= f.fin),
