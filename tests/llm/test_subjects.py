@@ -83,3 +83,4 @@ def test_edges(spark, corpus):
     assert rows(assign_subjects(odd, model)) == [(1, "sea"), (1, "sea"), (4, "sea")]
     small = fit_subjects(df, dirty, SUBJECTS, max_documents=50)
     assert small.weights.any()
+    assert not fit_subjects(df, dirty, SUBJECTS, max_chars=10).weights.any()

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import col, require
 from tickloom.llm.text import NUMBER, sub, without_pages
+from tickloom.sources.tables import stored
 
 BITS = 18
 NEEDED = 2
@@ -198,16 +199,24 @@ def _threshold(score: np.ndarray, label: np.ndarray) -> float:
     return float((s[order[at]] + lower) / 2)
 
 
-def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str], *, id_column: str = "doc_id", text: str = "text", label: str = "subject", max_documents: int = 10_000, **options: object) -> Model:
-    """Fit on at most ``max_documents`` labelled documents, those with the smallest hash of their id: a bounded sample of labelled
-    rows, which is all that the driver ever gets. Labels not in ``subjects`` are passed over."""
+def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str], *, id_column: str = "doc_id", text: str = "text", label: str = "subject", max_documents: int = 10_000, max_chars: int = 100_000_000, **options: object) -> Model:
+    """Fit on a bounded sample of labelled rows, which is all that the driver ever gets: at most ``max_documents`` labelled
+    documents, those with the smallest hash of their id, and of these, in that order, as many whole ones as have ``max_chars``
+    characters together. Labels not in ``subjects`` are passed over."""
     require(documents, id_column, text)
     require(labels, id_column, label)
     known = labels.where(col(label).isin(subjects) & col(id_column).isNotNull()).groupBy(col(id_column).cast("long").alias("__id")).agg(F.collect_set(col(label)).alias("__labels"))
-    sample = known.orderBy(F.xxhash64("__id"), "__id").limit(max_documents)
+    sample = known.withColumn("__h", F.xxhash64("__id")).orderBy("__h", "__id").limit(max_documents)
     texts = documents.where(F.length(col(text)) > 0).select(col(id_column).cast("long").alias("__id"), col(text).alias("__text"))
-    rows = texts.join(F.broadcast(sample), "__id").dropDuplicates(["__id"]).select("__id", "__text", "__labels").toArrow()
-    rows = rows.sort_by("__id")
+    found = stored(texts.join(F.broadcast(sample), "__id").groupBy("__id", "__h", "__labels").agg(F.max("__text").alias("__text")), "labelled")
+    upto, last = 0, None
+    for h, i, n in found.select("__h", "__id", F.length("__text")).orderBy("__h", "__id").collect():  # max_documents at most
+        upto += n
+        if upto > max_chars:
+            break
+        last = (h, i)
+    kept = found.where("false") if last is None else found.where((F.col("__h") < last[0]) | ((F.col("__h") == last[0]) & (F.col("__id") <= last[1])))
+    rows = kept.select("__id", "__text", "__labels").toArrow().sort_by("__id")
     no = {s: j for j, s in enumerate(subjects)}
     y = np.zeros((rows.num_rows, len(subjects)), dtype="int8")
     for i, names in enumerate(rows["__labels"].to_pylist()):
