@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import col, require
+from tickloom.sources.tables import stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's pieces are cut from a text.
@@ -188,19 +189,17 @@ def permuted(index: np.ndarray, n: np.ndarray, source: np.ndarray, use: np.ndarr
     return out.astype("int64")
 
 
-def _collected(documents: DataFrame, targets: DataFrame, block: int, total: int | None, columns: dict) -> tuple[DataFrame, list[dict]]:
-    names = {"id_column": "doc_id", "text": "text", "source": "source"} | columns
+def _planned(tokens: DataFrame, targets: DataFrame, block: int, total: int | None) -> list[dict]:
     require(targets, "source", "target_share", "max_uses")
     goals = targets.where("source is not null").groupBy("source").agg(F.max("target_share"), F.max("max_uses")).orderBy("source")
     if goals.count() > _LARGEST:
         raise ValueError(f"more than {_LARGEST} target sources")
     goals = goals.collect()
-    tokens = tokenised(documents, **names)
-    wanted = spark_rows(source_sizes(tokens), [g[0] for g in goals])
-    return tokens, plan(wanted, [tuple(g) for g in goals], block, total)
+    wanted = known_sizes(source_sizes(tokens), [g[0] for g in goals])
+    return plan(wanted, [tuple(g) for g in goals], block, total)
 
 
-def spark_rows(sizes: DataFrame, names: list[str]) -> list[tuple]:
+def known_sizes(sizes: DataFrame, names: list[str]) -> list[tuple]:
     """Sizes of the target sources, all others as one row: no more rows than there are targets."""
     known = F.when(F.col("source").isin(names), F.col("source"))
     rows = sizes.groupBy(known.alias("source")).agg(F.sum("documents"), F.sum("tokens")).collect()
@@ -218,7 +217,8 @@ def mix_report(documents: DataFrame, targets: DataFrame, *, block: int = 1024, t
     drawn. A target source without documents is short. Empty documents give zero sizes. The driver gets one row per target.
     """
     spark = documents.sparkSession
-    _, planned = _collected(documents, targets, block, total, columns)
+    names = {"id_column": "doc_id", "text": "text", "source": "source"} | columns
+    planned = _planned(tokenised(documents, **names), targets, block, total)
     slots = draw_slots(spark, planned, seed)
     size = spark.createDataFrame([(r["source"], r["tokens"]) for r in planned], "source string, __all long")
     used = slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("u")).join(F.broadcast(size), "source")
@@ -233,9 +233,10 @@ def mix(documents: DataFrame, targets: DataFrame, *, block: int = 1024, total: i
     """The mixture itself: ``shard``, ``position``, ``source``, ``block``, ``use``, ``tokens``. Packed blocks are joined by (source,
     block), which spreads evenly; no block is used more than max_uses times, hence no document."""
     names = {"id_column": "doc_id", "text": "text", "source": "source"} | columns
-    _, planned = _collected(documents, targets, block, total, columns)
+    tokens = stored(tokenised(documents, with_tokens=True, **names), "tokens")  # sizes, offsets and slices all read it
+    planned = _planned(tokens, targets, block, total)
     slots = draw_slots(documents.sparkSession, planned, seed)
-    blocks = pack(tokenised(documents, with_tokens=True, **names), block)
-    return slots.join(blocks, ["source", "block"]).select("shard", "position", "source", "block", "use", "tokens")
+    # The slots grow from a range of shard numbers, which Catalyst takes for tiny: without the hint it would broadcast them.
+    return slots.hint("merge").join(pack(tokens, block), ["source", "block"]).select("shard", "position", "source", "block", "use", "tokens")
 
 
