@@ -131,31 +131,34 @@ def best(scores: np.ndarray, document: np.ndarray, n: int, needed: int) -> np.nd
 
 def _fit(f: Features, targets: np.ndarray, rounds: int, l2: float, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regressions of all subjects at once by full-batch Adagrad over the features that the sample has at least twice."""
-    rows = np.repeat(np.arange(len(f.document)), np.diff(f.start))
     often = np.bincount(f.index, minlength=1 << BITS)[f.index] >= 2
+    start = np.concatenate([[0], np.cumsum(often)])[f.start]
     used, index = np.unique(f.index[often], return_inverse=True)
-    rows = rows[often]
-    scale = _scale(f)
+    size, scale = np.diff(start), _scale(f)
+    has = size > 0
+    heads = start[:-1][has]
     n, k = targets.shape
-    w = np.zeros((len(used), k), dtype="float32")
+    w = np.zeros((k, len(used)), dtype="float32")
     b = np.log((targets.mean(axis=0) + 1e-4) / (1 - targets.mean(axis=0) + 1e-4))
     g2 = np.full_like(w, 1e-6)
-    per_entry = (1 / scale)[rows]
     for _ in range(rounds):
         for j in range(k):
-            z = np.bincount(rows, weights=w[index, j], minlength=n) / scale + b[j]
-            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - targets[:, j]
-            g = np.bincount(index, weights=error[rows] * per_entry, minlength=len(used)) + l2 * w[:, j]
-            g2[:, j] += g * g
-            w[:, j] -= rate * g / np.sqrt(g2[:, j])
+            z = np.zeros(n)
+            if len(heads):
+                z[has] = np.add.reduceat(w[j].take(index), heads)
+            error = 1 / (1 + np.exp(-np.clip(z / scale + b[j], -30, 30))) - targets[:, j]
+            g = np.bincount(index, weights=np.repeat(error / scale, size), minlength=len(used)) + l2 * w[j]
+            g2[j] += g * g
+            w[j] -= rate * g / np.sqrt(g2[j])
             b[j] -= 4 * error.mean()
     full = np.zeros((1 << BITS, k), dtype="float32")
-    full[used] = w
+    full[used] = w.T
     return full, b
 
 
-def train(f: Features, labels: np.ndarray, subjects: list[str], *, needed: int = NEEDED, refits: int = 2, rounds: int = 25, l2: float = 0.02, held_out: float = 0.25, seed: int = 7) -> Model:
-    """Classifiers from paragraph features and document labels (documents x subjects, 0 or 1)."""
+def train(f: Features, labels: np.ndarray, subjects: list[str], *, needed: int = NEEDED, unlabelled: Features | None = None, refits: int = 2, rounds: int = 15, l2: float = 0.1, held_out: float = 0.25, seed: int = 7) -> Model:
+    """Classifiers from paragraph features and document labels (documents x subjects, 0 or 1). Documents without labels take part
+    in the last fit with the labels that the fits before give them."""
     n = len(labels)
     held = np.random.default_rng(seed).random(n) < held_out if n >= 40 else np.zeros(n, dtype=bool)
     fit_rows = ~held[f.document]
@@ -172,11 +175,22 @@ def train(f: Features, labels: np.ndarray, subjects: list[str], *, needed: int =
     judged = _take(f, held[f.document]) if held.any() else part
     docs = np.flatnonzero(held) if held.any() else np.arange(n)
     top = best(model.scores(judged), judged.document, n, needed)[docs]
-    model.thresholds = np.array([_threshold(top[:, j], labels[docs, j]) for j in range(len(subjects))])
-    if held.any():  # the last fit takes all documents, their paragraphs labelled by the fits before
-        s = model.scores(f)
-        keep = s >= np.minimum(0.0, best(s, f.document, n, needed)[f.document])
-        model.weights, model.bias = _fit(f, labels[f.document] * keep, rounds, l2)
+    # A subject with few held-out documents of its own takes the threshold that suits all subjects together.
+    pooled = _threshold(top.ravel(), labels[docs].ravel())
+    model.thresholds = np.array([_threshold(top[:, j], labels[docs, j]) if labels[docs, j].sum() >= 10 else pooled for j in range(len(subjects))])
+    # The last fit takes all documents, their paragraphs labelled by the fits before; so are documents without labels.
+    def supported(x: Features, y: np.ndarray) -> np.ndarray:
+        score = model.scores(x)
+        return y[x.document] * (score >= np.minimum(0.0, best(score, x.document, len(y), needed)[x.document]))
+
+    extra = 0 if unlabelled is None or not len(unlabelled.document) else int(unlabelled.document.max()) + 1
+    whole = f
+    if extra:
+        whole = Features(np.concatenate([f.index, unlabelled.index]), np.concatenate([f.start, unlabelled.start[1:] + f.start[-1]]), np.concatenate([f.document, unlabelled.document + n]))
+    targets = supported(f, labels)
+    if extra:
+        targets = np.concatenate([targets, supported(unlabelled, model.assign(unlabelled, extra).astype("int8"))])
+    model.weights, model.bias = _fit(whole, targets, rounds, l2)
     return model
 
 
@@ -199,32 +213,36 @@ def _threshold(score: np.ndarray, label: np.ndarray) -> float:
     return float((s[order[at]] + lower) / 2)
 
 
-def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str], *, id_column: str = "doc_id", text: str = "text", label: str = "subject", max_documents: int = 10_000, max_chars: int = 100_000_000, **options: object) -> Model:
-    """Fit on a bounded sample of labelled rows, which is all that the driver ever gets: at most ``max_documents`` labelled
-    documents, those with the smallest hash of their id, and of these, in that order, as many whole ones as have ``max_chars``
-    characters together. Labels not in ``subjects`` are passed over."""
+def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str], *, id_column: str = "doc_id", text: str = "text", label: str = "subject", max_documents: int = 10_000, max_unlabelled: int = 5_000, max_chars: int = 100_000_000, **options: object) -> Model:
+    """Fit on a bounded sample, which is all that the driver ever gets: at most ``max_documents`` labelled and ``max_unlabelled``
+    other documents, those with the smallest hashes of their ids, and of these, in that order, as many whole ones as have
+    ``max_chars`` characters together. The others get weak labels from the fits on the labelled ones. Labels not in ``subjects``
+    are passed over."""
     require(documents, id_column, text)
     require(labels, id_column, label)
     known = labels.where(col(label).isin(subjects) & col(id_column).isNotNull()).groupBy(col(id_column).cast("long").alias("__id")).agg(F.collect_set(col(label)).alias("__labels"))
-    sample = known.withColumn("__h", F.xxhash64("__id")).orderBy("__h", "__id").limit(max_documents)
+    hashed = lambda df, most: df.withColumn("__h", F.xxhash64("__id")).orderBy("__h", "__id").limit(most)
+    others = documents.where(col(id_column).isNotNull()).select(col(id_column).cast("long").alias("__id")).join(known.select("__id"), "__id", "left_anti").distinct()
+    sample = hashed(known, max_documents).unionByName(hashed(others.withColumn("__labels", F.array().cast("array<string>")), max_unlabelled))
     texts = documents.where(F.length(col(text)) > 0).select(col(id_column).cast("long").alias("__id"), col(text).alias("__text"))
     found = stored(texts.join(F.broadcast(sample), "__id").groupBy("__id", "__h", "__labels").agg(F.max("__text").alias("__text")), "labelled")
     upto, last = 0, None
-    for h, i, n in found.select("__h", "__id", F.length("__text")).orderBy("__h", "__id").collect():  # max_documents at most
+    for h, i, n in found.select("__h", "__id", F.length("__text")).orderBy("__h", "__id").collect():  # the sample
         upto += n
         if upto > max_chars:
             break
         last = (h, i)
     kept = found.where("false") if last is None else found.where((F.col("__h") < last[0]) | ((F.col("__h") == last[0]) & (F.col("__id") <= last[1])))
     rows = kept.select("__id", "__text", "__labels").toArrow().sort_by("__id")
+    marked = np.array([bool(x) for x in rows["__labels"].to_pylist()], dtype=bool)
     no = {s: j for j, s in enumerate(subjects)}
-    y = np.zeros((rows.num_rows, len(subjects)), dtype="int8")
-    for i, names in enumerate(rows["__labels"].to_pylist()):
+    y = np.zeros((int(marked.sum()), len(subjects)), dtype="int8")
+    for i, names in enumerate(x for x in rows["__labels"].to_pylist() if x):
         y[i, [no[x] for x in names]] = 1
-    f = features(rows["__text"].combine_chunks()) if rows.num_rows else Features(np.empty(0, dtype="int32"), np.zeros(1, dtype="int64"), np.empty(0, dtype="int64"))
-    if not len(f.document):
+    bags = [features(rows["__text"].combine_chunks().filter(pa.array(m))) if m.any() else Features(np.empty(0, dtype="int32"), np.zeros(1, dtype="int64"), np.empty(0, dtype="int64")) for m in (marked, ~marked)]
+    if not len(bags[0].document):
         return Model(subjects, np.zeros((1 << BITS, len(subjects)), dtype="float32"), np.zeros(len(subjects)), np.full(len(subjects), np.inf))
-    return train(f, y, subjects, **options)
+    return train(bags[0], y, subjects, unlabelled=bags[1], **options)
 
 
 def assign_subjects(documents: DataFrame, model: Model, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
