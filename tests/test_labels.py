@@ -1,11 +1,12 @@
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom import Config
-from tickloom.operators.dynamic_labels import apply_profit_taking_stop_loss, daily_vol, get_triple_barrier_label, get_vertical_barrier_by_timedelta
+from tickloom.operators.dynamic_labels import apply_profit_taking_stop_loss, daily_vol, first_at_least, get_triple_barrier_label, get_vertical_barrier_by_timedelta, price_level
 from tickloom.operators.frac_diff import frac_diff, frac_diff_weights
 from tickloom.operators.labels import fixed_time_return, fixed_time_return_classification
 
@@ -113,3 +114,19 @@ def test_triple_barrier(spark):
     assert {(r[0], r[1]): (r[2], r[3]) for r in touched}[t[0], t[4]] == (t[2], t[3])
     signs = get_triple_barrier_label(events, prices, "target", "vb", 1.0, 1.0, zero_at_vertical=False)
     assert signs.where("symbol = 'A' and timestamp = '2024-01-01 04:00:00'").first().label == 1
+
+
+def test_first_at_least_and_levels():
+    r = np.random.default_rng(1)
+    for n in (1, 2, 7, 100):
+        v = r.integers(0, 20, n).astype(float)
+        lo = r.integers(0, n + 1, 200)
+        hi = np.maximum(lo, r.integers(0, n + 1, 200))
+        level = r.integers(0, 25, 200).astype(float)
+        want = [next((i for i in range(a, b) if v[i] >= x), b) for a, b, x in zip(lo, hi, level)]
+        assert first_at_least(v, level, lo, hi).tolist() == want
+    start, ret = r.integers(1, 9_999, 5_000) / 100, np.full(5_000, 0.5)
+    up, down = price_level(start, ret, True), price_level(start, -ret, False)
+    assert (up / start - 1 >= 0.5).all() and (np.nextafter(up, -np.inf) / start - 1 < 0.5).all()
+    assert (down / start - 1 <= -0.5).all() and (np.nextafter(down, np.inf) / start - 1 > -0.5).all()
+    assert price_level(np.array([0.0, np.nan, 1.0]), np.array([0.1, 0.1, np.nan]), True).tolist() == [np.inf] * 3

@@ -8,13 +8,15 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.config import column_names
 from tickloom.functions.columns import col, require
 from tickloom.functions.durations import DAY_US, from_micros, parse_duration, shifted, to_micros
-from tickloom.operators.blocks import asof, ewm_std, solid
+from tickloom.operators.blocks import HOUR_US, asof, ewm_std, solid
 
 _FIRST = Window.unboundedPreceding
 
@@ -63,31 +65,101 @@ def get_vertical_barrier_by_timedelta(df: DataFrame, offset: str | dt.timedelta)
     return found.select(F.col("__t").alias(ts), *([F.col("__k").alias(sym)] if keys else []), F.when(F.col("__x").isNotNull(), F.col("__b")).alias("vertical_barrier"))
 
 
-def _paths(events: DataFrame, prices: DataFrame, target: str, barrier: str, profit_take: float | None, stop_loss: float | None, ids: list[str]) -> DataFrame:
-    """First touch of each barrier per event. An equi-join on (symbol, day) of the days that an event spans keeps the range join
-    partitioned; the touches are partial-aggregated per event."""
+BUCKET_US = 6 * HOUR_US
+
+
+def first_at_least(values: np.ndarray, level: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """First position in [lo, hi) whose value is at least level, hi where there is none: descent over doubling maxima, all questions
+    at once."""
+    tables = [values]
+    while (1 << len(tables)) <= len(values):
+        t, half = tables[-1], 1 << (len(tables) - 1)
+        tables.append(np.maximum(t[:-half], t[half:]))
+    at = lo.copy()
+    for k in range(len(tables) - 1, -1, -1):
+        fits = at + (1 << k) <= hi
+        skip = np.zeros(len(at), dtype=bool)
+        skip[fits] = tables[k][at[fits]] < level[fits]
+        at[skip] += 1 << k
+    return at
+
+
+def price_level(start: np.ndarray, ret: np.ndarray, up: bool) -> np.ndarray:
+    """The lowest (highest) price whose return from start, as it is computed, reaches ret: exact to the last bit. Where no return can
+    be told (null, start not above 0), a level that is never reached."""
+    away = np.inf if up else -np.inf
+    out = np.full(len(start), away)
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        at = start * (1 + ret)
+        for _ in range(3):
+            at = np.nextafter(at, away)
+        for _ in range(7):
+            reached = (at / start - 1 >= ret) if up else (at / start - 1 <= ret)
+            out = np.where(reached & (start > 0) & np.isfinite(at), at, out)
+            at = np.nextafter(at, -away)
+    return out
+
+
+def _bucket_touches(prices: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
+    """Per event that runs through a bucket: its first touches there and the return at its last price there."""
+    prices = prices.sort_values(["pu", "pp"], kind="stable")
+    u, p = prices["pu"].to_numpy(), prices["pp"].to_numpy()
+    base = events["p0"].to_numpy()
+    lo = np.searchsorted(u, events["us"].to_numpy(), side="right")
+    hi = np.maximum(np.searchsorted(u, events["end"].to_numpy(), side="right"), lo)
+    out = {"id": events["id"].to_numpy()}
+    for name, at in (("up", first_at_least(p, price_level(base, events["up"].to_numpy(), True), lo, hi)), ("down", first_at_least(-p, -price_level(base, events["down"].to_numpy(), False), lo, hi))):
+        hit = at < hi
+        safe = np.minimum(at, len(p) - 1)
+        out[f"{name}_us"] = pd.array(np.where(hit, u[safe], 0), dtype="Int64")
+        out[f"{name}_us"][~hit] = pd.NA
+        out[f"{name}_p"] = np.where(hit, p[safe], np.nan)
+    # The last price up to the end, the event's own time included.
+    from_own = np.searchsorted(u, events["us"].to_numpy(), side="left")
+    some = hi > from_own
+    safe = np.maximum(hi - 1, 0)
+    out["last_us"] = pd.array(np.where(some, u[safe], 0), dtype="Int64")
+    out["last_us"][~some] = pd.NA
+    out["last_p"] = np.where(some, p[safe], np.nan)
+    return pd.DataFrame(out | {"p0": base})
+
+
+_TOUCHES = "id long, up_us long, up_p double, down_us long, down_p double, last_us long, last_p double, p0 double"
+
+
+def _paths(events: DataFrame, prices: DataFrame, target: str, barrier: str, profit_take: float | None, stop_loss: float | None) -> DataFrame:
+    """First touch of each barrier per event. Events are copied to the (symbol, time bucket) groups that they run through; a group
+    searches its prices once for all of them and gives one row per event, never a row per pair."""
     ts, sym, price = column_names.timestamp, column_names.symbol, column_names.price
     both = sym in events.columns and sym in prices.columns
-    day_us = F.lit(DAY_US)
-    obs = prices.where(col(price).isNotNull() & col(ts).isNotNull()).select(*([col(sym).alias("__ps")] if both else []), to_micros(col(ts)).alias("__pu"), col(price).cast("double").alias("__pp"))
-    last = obs.groupBy(*(["__ps"] if both else [])).agg(F.max("__pu").alias("__last"))
-    start = to_micros(col(ts))
-    e = events.select("*", start.alias("__us"))
-    e = e.join(last, F.col("__ps").eqNullSafe(col(sym)), "left").drop("__ps") if both else e.crossJoin(F.broadcast(last))  # one row
-    e = e.withColumn("__end", F.coalesce(to_micros(col(barrier)), F.col("__last")))
-    days = F.sequence(F.floor(F.col("__us") / day_us), F.floor(F.greatest("__end", "__us") / day_us))
-    spans = e.where("__us is not null and __end is not null").select(*ids, *([col(sym).alias("__es")] if both else []), "__us", "__end", col(target).alias("__target"), F.explode(days).alias("__day"))
-    obs = obs.withColumn("__pday", F.floor(F.col("__pu") / day_us))
-    first = obs.groupBy(*(["__ps"] if both else []), "__pu").agg(F.max("__pp").alias("__p0"))
-    base = spans.where(F.col("__day") == F.floor(F.col("__us") / day_us)).join(first, (F.col("__us") == F.col("__pu")) & (F.col("__es").eqNullSafe(F.col("__ps")) if both else F.lit(True)), "inner").select(*ids, "__p0")
-    on = (F.col("__day") == F.col("__pday")) & (F.col("__es").eqNullSafe(F.col("__ps")) if both else F.lit(True)) & (F.col("__pu") >= F.col("__us")) & (F.col("__pu") <= F.col("__end"))
-    ret = F.try_divide(F.col("__pp"), F.col("__p0")) - 1
-    never = F.lit(None).cast("long")
-    up = F.when(ret >= F.col("__target") * F.lit(profit_take), F.col("__pu")) if profit_take is not None else never
-    down = F.when(ret <= F.col("__target") * F.lit(-stop_loss), F.col("__pu")) if stop_loss is not None else never
-    path = spans.join(base, ids).join(obs, on)
-    later = F.col("__pu") > F.col("__us")
-    return e.join(path.groupBy(*ids).agg(F.min(F.when(later, up)).alias("__up"), F.min(F.when(later, down)).alias("__down"), F.max_by(ret, F.struct("__pu", "__pp")).alias("__final"), F.min_by(ret, F.struct(F.when(later & (up.isNotNull() | down.isNotNull()), F.lit(0)).otherwise(F.lit(1)), "__pu", "__pp")).alias("__touch")), ids, "left")
+    bucket = lambda us: ((us - F.pmod(us, F.lit(BUCKET_US))) / F.lit(BUCKET_US)).cast("long")
+    p = col(price).cast("double")
+    obs = prices.where(p.isNotNull() & ~F.isnan(p) & col(ts).isNotNull()).select((solid(col(sym)) if both else F.lit("")).alias("k"), to_micros(col(ts)).alias("pu"), p.alias("pp"))
+    last = obs.groupBy("k").agg(F.max("pu").alias("last"))
+    e = events.select(F.col("__id").alias("id"), (solid(col(sym)) if both else F.lit("")).alias("k"), to_micros(col(ts)).alias("us"), to_micros(col(barrier)).alias("barrier"), col(target).cast("double").alias("target"))
+    e = e.join(last, "k", "left").select("id", "k", "us", "target", F.coalesce("barrier", "last").alias("end"))
+    first = obs.groupBy("k", F.col("pu").alias("us")).agg(F.max("pp").alias("p0"))
+    run = e.join(first, ["k", "us"]).where("us is not null and end is not null")
+    never = F.lit(None).cast("double")
+    up = F.col("target") * F.lit(profit_take) if profit_take is not None else never
+    down = F.col("target") * F.lit(-stop_loss) if stop_loss is not None else never
+    spread = run.withColumns({"up": up, "down": down, "b": F.explode(F.sequence(bucket(F.col("us")), bucket(F.greatest("end", "us"))))})
+    grouped = obs.withColumn("b", bucket(F.col("pu"))).groupBy("k", "b").cogroup(spread.groupBy("k", "b"))
+    parts = grouped.applyInPandas(_search_bucket, _TOUCHES)
+    ret = lambda x: F.try_divide(F.col(x), F.col("p0")) - 1
+    first_us = F.least("up_us", "down_us")
+    first_ret = F.when(F.col("up_us") == first_us, ret("up_p")).otherwise(ret("down_p"))
+    touched = parts.groupBy("id").agg(
+        F.min("up_us").alias("__up"), F.min("down_us").alias("__down"),
+        F.min_by(first_ret, first_us).alias("__touch"), F.max_by(ret("last_p"), F.col("last_us")).alias("__final"),
+    )
+    return e.select(F.col("id").alias("__id"), F.col("end").alias("__end")).join(touched.withColumnRenamed("id", "__id"), "__id", "left")
+
+
+def _search_bucket(prices: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
+    if not len(prices) or not len(events):
+        return pd.DataFrame({c.split()[0]: [] for c in _TOUCHES.split(", ")})
+    return _bucket_touches(prices, events)
 
 
 def apply_profit_taking_stop_loss(df: DataFrame, prices: DataFrame, target_col: str, vertical_barrier_col: str, profit_take: float | None = None, stop_loss: float | None = None) -> DataFrame:
@@ -106,10 +178,9 @@ def _touches(df, prices, target_col, vertical_barrier_col, profit_take, stop_los
     # Equal events get equal answers, so the event's own values identify it.
     sym = column_names.symbol
     names = [c for c in dict.fromkeys([sym, ts, target_col, vertical_barrier_col]) if c in df.columns]
-    ids = ["__id"]
     keyed = df.withColumn("__id", F.xxhash64(*(F.coalesce(col(c).cast("string"), F.lit("\u0000")) for c in names)))
     events = keyed.dropDuplicates(["__id"]).select("__id", *(col(c) for c in names))
-    found = _paths(events, prices, target_col, vertical_barrier_col, profit_take, stop_loss, ids)
+    found = _paths(events, prices, target_col, vertical_barrier_col, profit_take, stop_loss)
     first = F.least("__up", "__down")
     found = found.select("__id", from_micros(F.col("__up")).alias("profit_take_touch"), from_micros(F.col("__down")).alias("stop_loss_touch"), from_micros(F.coalesce(first, F.col("__end"))).alias("touch_timestamp"), F.when(first.isNotNull(), F.col("__touch")).otherwise(F.col("__final")).alias("return"), first.isNotNull().alias("__first"))
     return keyed.join(found, "__id", "left").drop("__id")
