@@ -19,6 +19,7 @@ from tickloom.config import column_names
 from tickloom.functions.columns import INTEGRAL, NUMERIC, col, require, require_type
 from tickloom.functions.durations import DAY_US, bucket_start, parse_duration, to_micros
 from tickloom.operators.blocks import running_totals, solid, time_bucket
+from tickloom.sources.ship import ship
 
 _ORDER = "__order"
 
@@ -176,6 +177,7 @@ def dollar_bars(df: DataFrame, *, bar_size: float = 1_000_000.0, split_by_date:
         return out.assign(__bar=bars, __s=shares)
 
     schema = "__sym string, " + ("__d date, " if split_by_date else "") + "__t timestamp_ntz, __p double, __bar long, __s long"
+    ship(df.sparkSession)
     pieces = flat.groupBy(*keys).applyInPandas(scan, schema)
     merged = pieces.groupBy(*keys, "__bar", "__t", "__p").agg(F.sum("__s").alias("__s")).withColumn(_ORDER, F.struct("__t", "__p"))
     return _result(merged.groupBy(*keys, "__bar").agg(*_ohlcv()), sort=sort)

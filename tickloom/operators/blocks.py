@@ -19,6 +19,7 @@ from pyspark.sql.window import WindowSpec
 from tickloom.functions.columns import col, fresh, require
 from tickloom.functions.durations import DAY_US, to_micros
 from tickloom.operators.sharding import ordered_shards
+from tickloom.sources.ship import ship
 
 HOUR_US = 3_600_000_000
 _NEVER = -(2**62)
@@ -160,6 +161,7 @@ def ewm_std(df: DataFrame, key: str, order: Sequence[str], value: str, span: flo
         for shard, (first, last, n) in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((shard, first, last, n))])], names=["state"])
 
+    ship(df.sparkSession)
     states = sorted(pickle.loads(r[0]) for r in shards.mapInArrow(summarise, "state binary").collect())  # one per shard
     enter: dict[int, tuple | None] = {}
     name, state = None, None

@@ -17,6 +17,7 @@ from tickloom.config import column_names
 from tickloom.functions.columns import col, require
 from tickloom.functions.durations import DAY_US, from_micros, parse_duration, shifted, to_micros
 from tickloom.operators.blocks import HOUR_US, asof, ewm_std, solid
+from tickloom.sources.ship import ship
 
 _FIRST = Window.unboundedPreceding
 
@@ -145,6 +146,7 @@ def _paths(events: DataFrame, prices: DataFrame, target: str, barrier: str, prof
     down = F.col("target") * F.lit(-stop_loss) if stop_loss is not None else never
     spread = run.withColumns({"up": up, "down": down, "b": F.explode(F.sequence(bucket(F.col("us")), bucket(F.greatest("end", "us"))))})
     grouped = obs.withColumn("b", bucket(F.col("pu"))).groupBy("k", "b").cogroup(spread.groupBy("k", "b"))
+    ship(events.sparkSession)
     parts = grouped.applyInPandas(_search_bucket, _TOUCHES)
     ret = lambda x: F.try_divide(F.col(x), F.col("p0")) - 1
     first_us = F.least("up_us", "down_us")
