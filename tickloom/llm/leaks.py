@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import col, require
 from tickloom.llm.text import document_words, rough_words, squeezed, squeezed_words
+from tickloom.sources.ship import ship
 
 PASSAGE = 96
 BLOCK = 16
@@ -310,6 +311,7 @@ def find_leaks(corpus: DataFrame, items: DataFrame, *, id_column: str = "doc_id"
     require(corpus, id_column, text)
     require(items, item_id, passage, question, answer)
     spark = corpus.sparkSession
+    ship(spark)
     docs = corpus.where(col(id_column).isNotNull() & (F.length(col(text)) > 0)).select(col(id_column).cast("long").alias("doc_id"), col(text).alias("text"))
     tests = items.where(col(item_id).isNotNull() & (F.length(col(passage)) > 0)).select(col(item_id).cast("long").alias("i"), col(passage).alias("p"), col(question).alias("q"), col(answer).alias("a"))
     tests = tests.groupBy("i").agg(F.max(F.struct("p", "q", "a")).alias("x")).select("i", "x.*")

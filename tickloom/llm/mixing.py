@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import col, require
+from tickloom.sources.ship import ship
 from tickloom.sources.tables import stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -37,6 +38,7 @@ def tokenised(documents: DataFrame, *, id_column: str = "doc_id", text: str = "t
     """Columns ``id``, ``source``, ``n_tokens`` and, if wanted, ``tokens`` (little-endian 16-bit ids). One row per id: of repeated
     ids the one with the most tokens counts. Null ids are left out; null and empty texts have no tokens."""
     require(documents, id_column, text, source)
+    ship(documents.sparkSession)
     with open(vocabulary, "rb") as f:
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
     rows = documents.where(col(id_column).isNotNull()).select(col(id_column).cast("long").alias("id"), col(source).cast("string").alias("source"), col(text).alias("text"))
@@ -128,6 +130,7 @@ def draw_slots(spark: SparkSession, planned: list[dict], seed: int = 0, per_shar
     """
     if not planned or not planned[0]["slots"]:
         return spark.createDataFrame([], "shard long, position long, source string, block long, use long")
+    ship(spark)
     slots = planned[0]["slots"]
     shards = -(-slots // per_shard)
     names = [r["source"] for r in planned]

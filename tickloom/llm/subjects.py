@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import col, require
 from tickloom.llm.text import NUMBER, sub, without_pages
+from tickloom.sources.ship import ship
 from tickloom.sources.tables import stored
 
 BITS = 18
@@ -249,6 +250,7 @@ def assign_subjects(documents: DataFrame, model: Model, *, id_column: str = "doc
     """``doc_id``, ``subject``: every subject of every document, none for documents without; one row per copy of a document.
     Null ids, null and empty texts give no rows; whole texts are read; extra columns are ignored. No shuffle."""
     require(documents, id_column, text)
+    ship(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.where(col(id_column).isNotNull() & (F.length(col(text)) > 0)).select(col(id_column).cast("long").alias("doc_id"), col(text).alias("text"))
 
