@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tickloom import Config, dollar_bars, tick_bars, time_bars, volume_bars
-from tickloom.operators.bars import dollar_pieces
+from tickloom.operators.bars import DollarScan
 
 T0 = dt.datetime(2021, 1, 1)
 SCHEMA = "symbol string, price double, size bigint, ts_event timestamp_ntz"
@@ -46,7 +46,7 @@ def _overflow(values, size):
 
 @pytest.mark.parametrize(("values", "groups"), [([1, 2, 3, 4, 5], [0, 0, 0, 1, 2]), ([2, 2, 5, 1, 3], [0, 0, 1, 2, 2]), ([3, 3, 3, 3], [0, 0, 1, 1])])
 def test_overflow_scan(values, groups):
-    got = [bar for _, bar, _ in dollar_pieces([float(v) for v in values], [1] * len(values), 4.0)]
+    got = [bar for _, bar, _ in DollarScan(4.0).pieces([float(v) for v in values], [1] * len(values))]
     assert got == groups == _overflow(values, 4)
 
 
@@ -67,8 +67,10 @@ def test_dollar_pieces_against_shares():
         shares = [(i, p) for i, (p, n) in enumerate(zip(prices, sizes)) for _ in range(n)]
         want = pd.Series(list(zip([i for i, _ in shares], _overflow([p for _, p in shares], size)))).value_counts().to_dict()
         got = {}
-        for i, bar, n in dollar_pieces(prices, sizes, size):
-            got[i, bar] = got.get((i, bar), 0) + n
+        scan, half = DollarScan(size), len(prices) // 2
+        for first, part in ((0, slice(0, half)), (half, slice(half, None))):  # the state carries over batches
+            for i, bar, n in scan.pieces(prices[part], sizes[part]):
+                got[first + i, bar] = got.get((first + i, bar), 0) + n
         assert got == want, (prices, sizes, size)
 
 
@@ -100,6 +102,15 @@ def test_volume_is_kept(trades, make, split):
     assert out.agg(F.sum("volume")).first()[0] == sum(d[2] for d in data)
 
 
+def test_dollar_bars_over_small_batches(spark, trades):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        small = rows(dollar_bars(trades[1], bar_size=900.0, split_by_date=False))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert small == rows(dollar_bars(trades[1], bar_size=900.0, split_by_date=False))
+
+
 def test_dirty_rows(spark):
     df = spark.createDataFrame([("A", None, 5, T0), ("A", 2.0, None, T0), ("A", 3.0, 0, T0), (None, 4.0, 6, T0), ("A", float("nan"), 1, T0), ("A", 5.0, 2, None)], SCHEMA)
     t = {r.symbol: r for r in time_bars(df, bar_size="1d").collect()}

@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from math import ceil
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from tickloom.operators.blocks import running_totals, solid, time_bucket
 from tickloom.sources.ship import ship
 
 _ORDER = "__order"
+_CUT = "|"  # between day and symbol; a day has none
 
 
 def _ohlcv() -> list[Column]:
@@ -65,10 +67,6 @@ def _result(df: DataFrame, leading: Sequence[Column] = (), sort: bool = False) -
     return out.orderBy(col(f"{ts}_end"), col(sym), col(f"{ts}_start")) if sort else out
 
 
-def _day_key(split_by_date: bool) -> list[Column]:
-    return [F.to_date("__t").alias("__d")] if split_by_date else []
-
-
 def _running(trades: DataFrame, split_by_date: bool, amount: Column) -> DataFrame:
     """Trades with the running total ``__hi`` of amount per symbol[, day] and the keys __key, __day that are never null."""
     us = to_micros(F.col("__t"))
@@ -130,54 +128,72 @@ def volume_bars(df: DataFrame, *, bar_size: int = 10_000, split_by_date: bool =
     return _result(bars.withColumn("__sym", _symbol()), sort=sort)
 
 
-def dollar_pieces(prices: Sequence[float], sizes: Sequence[int], bar_size: float) -> Iterator[tuple[int, int, int]]:
-    """(row, bar, shares) for trades in order: a bar closes with the share that brings its value to ``bar_size``, and the rest
-    of that share's value is dropped. Work per trade is constant plus its pieces."""
-    value, bar = 0.0, 0
-    for row, (p, n) in enumerate(zip(prices, sizes)):
-        if value + n * p < bar_size or not p > 0:
-            yield row, bar, n
-            value += n * p if p > 0 else 0.0
-            continue
-        k = max(1, ceil((bar_size - value) / p))
-        if k > n:  # rounding at the edge: the whole trade fits
-            k = n
-        yield row, bar, k
-        bar, n, value = bar + 1, n - k, 0.0
-        per_bar = ceil(bar_size / p)
-        full, rest = divmod(n, per_bar)
-        for i in range(full):
-            yield row, bar + i, per_bar
-        bar += full
-        if rest:
-            yield row, bar, rest
-            value = rest * p
+class DollarScan:
+    """Fills bars share by share: a bar closes with the share that brings its value to ``bar_size``, and the rest of that share's
+    value is dropped. Two numbers of state; work per trade is constant plus its pieces."""
+
+    def __init__(self, bar_size: float) -> None:
+        self.bar_size, self.value, self.bar = bar_size, 0.0, 0
+
+    def pieces(self, prices: Sequence[float], sizes: Sequence[int]) -> Iterator[tuple[int, int, int]]:
+        """(row, bar, shares) of the next trades in order."""
+        full_bar = self.bar_size
+        for row, (p, n) in enumerate(zip(prices, sizes)):
+            if self.value + n * p < full_bar or not p > 0:
+                yield row, self.bar, n
+                self.value += n * p if p > 0 else 0.0
+                continue
+            k = min(n, max(1, ceil((full_bar - self.value) / p)))  # min: rounding at the edge, the whole trade fits
+            yield row, self.bar, k
+            self.bar, n, self.value = self.bar + 1, n - k, 0.0
+            per_bar = ceil(full_bar / p)
+            whole, rest = divmod(n, per_bar)
+            for i in range(whole):
+                yield row, self.bar + i, per_bar
+            self.bar += whole
+            if rest:
+                yield row, self.bar, rest
+                self.value = rest * p
 
 
 def dollar_bars(df: DataFrame, *, bar_size: float = 1_000_000.0, split_by_date: bool = True, tie_breakers: Sequence[str] | None = None, sort: bool = False) -> DataFrame:
     """Bars of ``bar_size`` value per symbol[, day], filled share by share.
 
-    The scan depends on its own resets, so it runs as a grouped map per (symbol[, date]) over four narrow columns; without dates a
-    symbol is one sequential scan. Sizes must be integral; null or non-positive ones are left out, negative prices raise, NaN and
-    zero prices add no value. Trades of a bar at the same price and time count once in n_trades.
+    The scan depends on its own resets, so a (symbol[, date]) is scanned in order by one task. The rows are sorted by Spark and pass
+    through in Arrow batches with two numbers of state, so a long history needs time but no memory. Sizes must be integral; null or
+    non-positive ones are left out, negative prices raise, NaN and zero prices add no value. Trades of a bar at the same price and
+    time count once in n_trades.
     """
     _check_size(bar_size)
     trades = _trades(df, tie_breakers, positive_size=True)
     require_type(trades, "__s", INTEGRAL, "integral for dollar bars")
     checked = F.when(F.col("__p") < 0, F.raise_error(F.lit("dollar bars need prices of 0 or more")).cast("double")).otherwise(F.col("__p"))
-    keys = ["__sym", *(["__d"] if split_by_date else [])]
-    trades = trades.withColumn("__p", checked).withColumn("__s", F.col("__s").cast("long")).select("*", *_day_key(split_by_date))
-    order = [f.name for f in trades.schema[_ORDER].dataType.fields]
-    flat = trades.select(*keys, "__t", "__p", "__s", *(F.col(f"{_ORDER}.`{n}`").alias(f"__o{i}") for i, n in enumerate(order)))
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([f"__o{i}" for i in range(len(order))], kind="stable", ignore_index=True, na_position="first")
-        rows, bars, shares = zip(*dollar_pieces(group["__p"].tolist(), group["__s"].tolist(), bar_size))
-        out = group.loc[list(rows), [*keys, "__t", "__p"]].reset_index(drop=True)
-        return out.assign(__bar=bars, __s=shares)
-
-    schema = "__sym string, " + ("__d date, " if split_by_date else "") + "__t timestamp_ntz, __p double, __bar long, __s long"
+    day = F.coalesce(F.to_date("__t").cast("string"), F.lit("")) if split_by_date else F.lit("")
+    keyed = trades.select(F.concat(day, F.lit(_CUT), solid(F.col("__sym"))).alias("__key"), "__t", checked.alias("__p"), F.col("__s").cast("long").alias("__s"), _ORDER)
+    in_order = keyed.repartition("__key").sortWithinPartitions("__key", _ORDER).drop(_ORDER)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, DollarScan(bar_size)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column("__key").dictionary_encode()
+            codes = names.indices.to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+            prices, sizes = batch.column("__p").to_pylist(), batch.column("__s").to_pylist()
+            out: list[tuple[int, int, int]] = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                name = names.dictionary[int(codes[a])].as_py()
+                if name != key:
+                    key, state = name, DollarScan(bar_size)
+                out += [(a + row, bar, n) for row, bar, n in state.pieces(prices[a:b], sizes[a:b])]
+            rows, bars, shares = (pa.array(x, type=pa.int64()) for x in zip(*out))
+            kept = batch.take(rows)
+            yield pa.RecordBatch.from_arrays([kept.column("__key"), kept.column("__t"), kept.column("__p"), bars, shares], names=["__key", "__t", "__p", "__bar", "__s"])
+
     ship(df.sparkSession)
-    pieces = flat.groupBy(*keys).applyInPandas(scan, schema)
-    merged = pieces.groupBy(*keys, "__bar", "__t", "__p").agg(F.sum("__s").alias("__s")).withColumn(_ORDER, F.struct("__t", "__p"))
-    return _result(merged.groupBy(*keys, "__bar").agg(*_ohlcv()), sort=sort)
+    pieces = in_order.mapInArrow(scan, "__key string, __t timestamp_ntz, __p double, __bar long, __s long")
+    merged = pieces.groupBy("__key", "__bar", "__t", "__p").agg(F.sum("__s").alias("__s")).withColumn(_ORDER, F.struct("__t", "__p"))
+    bars = merged.groupBy("__key", "__bar").agg(*_ohlcv())
+    symbol = F.expr(f"substring(__key, locate('{_CUT}', __key) + 1)")
+    return _result(bars.withColumn("__sym", F.when(symbol != "", F.expr("substring(__key, locate('" + _CUT + "', __key) + 2)"))), sort=sort)
