@@ -132,9 +132,13 @@ def best(scores: np.ndarray, document: np.ndarray, n: int, needed: int) -> np.nd
 
 def _fit(f: Features, targets: np.ndarray, rounds: int, l2: float, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regressions of all subjects at once by full-batch Adagrad over the features that the sample has at least twice."""
-    often = np.bincount(f.index, minlength=1 << BITS)[f.index] >= 2
+    count = np.bincount(f.index, minlength=1 << BITS)
+    used = np.flatnonzero(count >= 2)
+    place = np.zeros(1 << BITS, dtype="int64")
+    place[used] = np.arange(len(used))
+    often = count[f.index] >= 2
     start = np.concatenate([[0], np.cumsum(often)])[f.start]
-    used, index = np.unique(f.index[often], return_inverse=True)
+    index = place[f.index[often]]
     size, scale = np.diff(start), _scale(f)
     has = size > 0
     heads = start[:-1][has]
