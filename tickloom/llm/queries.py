@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm import text
 from tickloom.llm.leaks import find_leaks
 from tickloom.llm.mixing import mix, mix_report
 from tickloom.llm.subjects import assign_subjects, fit_subjects
@@ -17,6 +18,11 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return find_leaks(read_table(spark, directory, "documents"), read_table(spark, directory, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p6_quoted(spark: SparkSession, directory: str) -> DataFrame:
+    """The leaks without any altered word."""
+    return find_leaks(read_table(spark, directory, "documents"), read_table(spark, directory, "eval_items"), altered=0.0).select("doc_id", "item_id").distinct()
+
+
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     return p7_report(spark, directory).where("short").select("source")
 
@@ -38,8 +44,27 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p7_found, p7_report, p7_mix, p8_found)}
+    return {f.__name__: f for f in (p6_found, p6_quoted, p7_found, p7_report, p7_mix, p8_found)}
+
+
+def _plain_sql(column: str) -> str:
+    """The squeezed text, but for entities that stand for letters."""
+    steps = [(r"\r\n?", "\n"), (text.PAGE, ""), (text.NUMBER, "\n"), (text.TAG, " "), (text.MARKS, " ")]
+    out = column
+    for pattern, by in steps:
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
+    return f"regexp_replace(regexp_replace(lower({out}), {_quoted(text.BLANK)}, ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_QUOTED = f"""with d as (select doc_id, {_plain_sql("text")} as body from documents where doc_id is not null and length(text) > 0),
+i as (select item_id, list_filter(list_transform(string_split_regex(lower(passage), '\\s+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), lambda w: w <> '') as words from eval_items where item_id is not null and passage is not null),
+q as (select distinct item_id, array_to_string(words[k : k + 19], '') as quote from (select item_id, words, unnest(range(1, len(words) - 18)) as k from i))
+select distinct doc_id, item_id from d join q on contains(body, quote)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_quoted": _QUOTED}
