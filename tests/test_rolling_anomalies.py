@@ -4,6 +4,7 @@ import random
 from statistics import median
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,26 @@ def test_implausible_passes_and_edges(spark, dirty):
     assert once <= more
 
 
+def test_rows_that_differ_are_readings_of_their_own(spark):
+    """A second row of the same symbol, time and id with another price or size is no copy."""
+    t0 = dt.datetime(2024, 1, 1)
+    data = [("a", t0 + dt.timedelta(seconds=i), i, 100.0 + i % 3 * 0.01, 10) for i in range(100)]
+    t = data[50][1]
+    odd = [("a", t, 50, -1.0, 10), ("a", t, 50, 1_000.0, 10), ("a", t, 50, None, 0), ("a", t, 50, float("nan"), 10), ("a", t, 50, float("nan"), 10), ("a", t + dt.timedelta(hours=1), 50, 5_000.0, 10), data[50], data[50]]
+    found = rows(implausible_readings(spark.createDataFrame(data + odd, SCHEMA)))
+    assert found == [(50, "price", "limit"), (50, "price", "limit"), (50, "price", "spike"), (50, "price", "spike"), (50, "size", "limit")]
+
+
+def test_shards_hold_all_rows_in_order(spark, dirty, monkeypatch):
+    from tickloom.operators import sharding
+
+    monkeypatch.setattr(sharding, "partitions_for", lambda df, mb: 7)
+    df = spark.createDataFrame(dirty, SCHEMA).where("symbol is not null and timestamp is not null")
+    shards = sharding.ordered_shards(df, "symbol", ["timestamp", "tick_id", "price", "size"], ["symbol", "timestamp", "tick_id"]).collect()
+    back = [tuple(r.values()) for s in sorted(shards, key=lambda s: s.shard) for _, t in sharding.tables_of([pa.RecordBatch.from_pylist([{"shard": s.shard, "rows": bytes(s.rows)}])]) for r in t.to_pylist()]
+    assert back == sorted(back) and len(back) == df.count() and len(shards) > 4
+
+
 def test_row_medians_and_levels():
     before, after = anomalies.side_levels(np.array([1.0, 2.0, 3.0]), 2, np.array([9.0]), np.array([]))
     assert before.tolist() == [9.0, 5.0, 1.5] and after[:2].tolist() == [2.5, 3.0] and np.isnan(after[2])

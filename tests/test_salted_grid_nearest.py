@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tickloom.operators.grid import regular_grid
 from tickloom.operators.nearest import nearest_match
-from tickloom.operators.salted import heavy_keys, key_shares, salted_aggregate
+from tickloom.operators.salted import heavy_keys, key_shares, salted, salted_aggregate, salted_apply, salted_top
 
 D = dt.datetime
 T0 = D(2024, 1, 1, 9)
@@ -30,7 +30,7 @@ def test_salted_aggregate_against_plain(spark):
         xs = [x for _, x in v]
         want[k] = (len(own), len(xs), sum(xs), min(xs), max(xs), pytest.approx(sum(xs) / len(xs)), min(v)[1], max(v)[1])
     assert {row[0]: tuple(row)[1:] for row in out.collect()} == want
-    assert [tuple(x) for x in heavy_keys(df, ["k"], 0.5).collect()] == [("HOT",)]
+    assert [x.k for x in heavy_keys(df, ["k"], 0.5).collect()] == ["HOT"]
 
 
 def test_salted_plan_has_no_python_and_bounded_broadcast(spark):
@@ -50,6 +50,57 @@ def test_salted_edges(spark):
         salted_aggregate(df, ["nope"], {"n": ("count",)})
 
 
+def test_heavy_key_with_constant_input_is_spread(spark):
+    """Rows that are equal in all columns get different salts, of even sizes; light keys get none."""
+    df = spark.createDataFrame([("HOT", 1.0)] * 20_000 + [(f"k{i}", 1.0) for i in range(900)], "k string, x double")
+    n = {r[0]: r[1] for r in salted(df, ["k"], 32, 0.1).where("k = 'HOT'").groupBy("__salt").count().collect()}
+    assert len(n) == 32 and max(n.values()) < 1.3 * min(n.values())
+    assert salted(df, ["k"], 32, 0.1).where("k <> 'HOT' and __salt <> 0").count() == 0
+    behind = df.repartition(8, "x").join(spark.createDataFrame([("HOT", 5)], "k string, y int"), "k")
+    assert rows(salted_aggregate(behind, ["k"], {"n": ("count",), "s": ("sum", "y")})) == [("HOT", 20_000, 100_000)]
+    for bad in (0, 1e-6, 2):
+        with pytest.raises(ValueError):
+            salted_aggregate(df, ["k"], {"n": ("count",)}, heavy_share=bad)
+
+
+def test_counts_read_the_rows_twice_at_most(spark, tmp_path):
+    spark.createDataFrame([("a", 1)] * 9, "k string, x int").write.parquet(str(tmp_path / "t"))
+    out = key_shares(spark.read.parquet(str(tmp_path / "t")), "k", least=0.5)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Reused" in plan or plan.count("Scan parquet") <= 2
+
+
+def test_by_value_and_top(spark):
+    r = random.Random(7)
+    data = [(r.choice(["HOT"] * 8 + ["a", None]), r.choice([None, float("nan"), *(x / 4 for x in range(-40, 40))]), i) for i in range(2_000)]
+    df = spark.createDataFrame(data, "k string, x double, i int").withColumn("value", F.lit("z"))
+    out = {row.k: tuple(row)[1:] for row in salted_aggregate(df, ["k"], {"d": ("distinct", "x"), "q": ("quantile", "x", 0.9), "m": ("quantile", "x", 0.5), "n": ("count",)}, heavy_share=0.2).collect()}
+    for k in {d[0] for d in data}:
+        own = [d[1] for d in data if d[0] == k and d[1] is not None]
+        good = sorted(x for x in own if x == x)
+        assert out[k] == (len({str(x) for x in own}), good[-(-len(good) * 9 // 10) - 1], good[-(-len(good) // 2) - 1], sum(d[0] == k for d in data))
+    top = salted_top(df, ["k"], [F.col("i").desc()], 2, heavy_share=0.2)
+    want = {(k, rank + 1, i) for k in {d[0] for d in data} for rank, i in enumerate(sorted((d[2] for d in data if d[0] == k), reverse=True)[:2])}
+    assert {(x.k, x["rank"], x.i) for x in top.collect()} == want
+    none = spark.createDataFrame([("a", None, 1)], "k string, x double, i int")
+    assert rows(salted_aggregate(none, ["k"], {"d": ("distinct", "x"), "q": ("quantile", "x", 0.5)})) == [("a", 0, None)]
+    assert salted_aggregate(none.limit(0), ["k"], {"d": ("distinct", "x")}).count() == 0
+
+
+def test_salted_apply_bounds_groups(spark):
+    df = spark.createDataFrame([("HOT", float(i)) for i in range(5_000)] + [(None, 3.0), ("a", 4.0)], "k string, x double")
+
+    def partial(g):
+        return g.groupby("k", dropna=False).agg(n=("x", "size"), s=("x", "sum")).reset_index()
+
+    def merge(g):
+        return g.groupby("k", dropna=False).agg(parts=("n", "size"), most=("n", "max"), s=("s", "sum")).reset_index()
+
+    out = {x.k: x for x in salted_apply(df, ["k"], partial, "k string, n long, s double", merge, "k string, parts long, most long, s double", rows_per_group=500).collect()}
+    assert out["HOT"].parts == 10 and out["HOT"].most < 700 and out["HOT"].s == sum(range(5_000)) and out[None].s == 3.0
+
+
 def test_key_shares(spark):
     df = spark.createDataFrame([("a",)] * 6 + [("b",)] * 2 + [(None,)] * 2, "k string")
     assert rows(key_shares(df, "k")) == [("a", 6, 0.6), ("b", 2, 0.2)]

@@ -1,14 +1,16 @@
 import datetime as dt
 
-import pandas as pd
+from types import SimpleNamespace
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tickloom import Config, volume_bars
 from tickloom.sources.ship import ship
 from tickloom.sources.synthetic import generate_trade_data
-from tickloom.sources.tables import cut, input_bytes, partitions_for, stored
+from tickloom.sources.tables import input_bytes, partitions_for, shared_dir, stored
 
 
 def test_generated_trades(spark):
@@ -40,9 +42,26 @@ def test_volume_bars_of_generated_trades(spark):
     assert got == sorted((s, sum(n for n, _ in b), len(b), round(sum(n * p for n, p in b) / sum(n for n, _ in b), 9)) for s, b in want)
 
 
-def test_stored_and_cut(spark):
+def test_stored(spark):
     df = spark.createDataFrame(pd.DataFrame({"a": [1, 2, 3], "b": ["x", None, "z"]}))
-    assert rows(stored(df, "t")) == rows(cut(df)) == rows(df)
+    assert rows(stored(df, "t")) == rows(df)
+
+
+def test_no_local_folder_on_a_cluster():
+    """Executors that share no folder would each keep a part: an error, not a loss."""
+
+    def session(master, told, set_already):
+        made = []
+        folder = SimpleNamespace(isDefined=lambda: set_already or bool(made), get=lambda: made[0] if made else "hdfs://set")
+        context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: folder)), master=master, setCheckpointDir=made.append)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: told))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(session(master, None, False))
+        assert shared_dir(session(master, "hdfs://told", False)) == "hdfs://told"
+        assert shared_dir(session(master, None, True)) == "hdfs://set"
+    assert shared_dir(session("local[4]", None, False)).startswith("/")
 
 
 def test_sizes(spark, tmp_path):

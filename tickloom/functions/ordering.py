@@ -4,17 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql.window import WindowSpec
 
 from tickloom.functions.columns import col
 
 
-def tie_columns(df: DataFrame, tie_breakers: Sequence[str] | None, default: Sequence[str]) -> list[str]:
-    """The tie-breakers asked for, else those of ``default`` that the frame has."""
-    return list(tie_breakers) if tie_breakers is not None else [c for c in default if c in df.columns]
-
-
 def ordered(partition: Sequence[str | Column], order: Sequence[str | Column]) -> WindowSpec:
     spec = Window.partitionBy(*(col(p) if isinstance(p, str) else p for p in partition))
     return spec.orderBy(*(col(o) if isinstance(o, str) else o for o in order))

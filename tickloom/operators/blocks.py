@@ -6,7 +6,6 @@ the rows next to a cut, the last observation per bucket, one state per shard.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -18,8 +17,7 @@ from pyspark.sql.window import WindowSpec
 
 from tickloom.functions.columns import col, fresh, require
 from tickloom.functions.durations import DAY_US, to_micros
-from tickloom.operators.sharding import ordered_shards
-from tickloom.sources.ship import ship
+from tickloom.operators.sharding import ordered_shards, tables_of
 
 HOUR_US = 3_600_000_000
 _NEVER = -(2**62)
@@ -129,58 +127,58 @@ def _joined(state: tuple | None, local: tuple, decay: float, steps: np.ndarray |
     return total, q * q * w20 + w2, share * m0 + (1 - share) * m, q * s0 + s + share * w * (m0 - m) ** 2, n0 + n
 
 
+_STATE = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("first", pa.string()), ("last", pa.string()), ("size", pa.int64()), ("moments", pa.list_(pa.float64()))])
+
+
 def ewm_std(df: DataFrame, key: str, order: Sequence[str], value: str, span: float, keep: Sequence[str], out: str) -> DataFrame:
     """``keep`` and ``out``: exponentially weighted, bias-corrected standard deviation of ``value`` per key in order; 0.0 at the
     first value, null where the value is. ``key`` is a string that is never null.
 
-    The moments are carried over shard edges: two Arrow passes over even shards, one state per shard on the driver.
+    The moments are carried over shard edges: two Arrow passes over even shards, five numbers per shard (of which there are at most
+    ``sharding.MOST_SHARDS``) collected and broadcast. The jobs of the first pass run when the function is called.
     """
     decay = 1 - 2 / (span + 1)
     kept = list(keep)
-    shards = ordered_shards(df, key, order, list(dict.fromkeys([key, value, *kept])))
-    ts = shards.select(*kept).schema
-
-    def parts(batches: Iterator[pa.RecordBatch]):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        t = pa.Table.from_batches(batches).combine_chunks()
+    columns = list(dict.fromkeys([key, value, *kept]))
+    shards = ordered_shards(df, key, order, columns)
+    ts = df.select(*kept).schema
+
+    def parts(t: pa.Table):
         names = t[key].combine_chunks().dictionary_encode()
-        codes, shard = names.indices.to_numpy(zero_copy_only=False), t["shard"].to_numpy()
+        codes = names.indices.to_numpy(zero_copy_only=False)
         x = t[value].to_numpy().astype(float)
-        cuts = np.concatenate([[0], np.flatnonzero((codes[1:] != codes[:-1]) | (shard[1:] != shard[:-1])) + 1, [len(x)]])
+        cuts = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1, [len(x)]])
         for a, b in zip(cuts[:-1], cuts[1:]):
-            yield int(shard[a]), names.dictionary[int(codes[a])].as_py(), x[a:b], t.slice(a, b - a)
+            yield names.dictionary[int(codes[a])].as_py(), x[a:b], t.slice(a, b - a)
 
     def summarise(batches):
-        seen: dict[int, list] = {}
-        for shard, name, x, _ in parts(batches):
-            own = seen.setdefault(shard, [name, None, 0])
-            own[1] = (name, len(x), tuple(float(m[-1]) for m in _moments(x, decay)))
-            own[2] += 1
-        for shard, (first, last, n) in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((shard, first, last, n))])], names=["state"])
-
-    ship(df.sparkSession)
-    states = sorted(pickle.loads(r[0]) for r in shards.mapInArrow(summarise, "state binary").collect())  # one per shard
-    enter: dict[int, tuple | None] = {}
+        for shard, t in tables_of(batches):
+            own = [(name, x) for name, x, _ in parts(t)]
+            (first, _), (last, x) = own[0], own[-1]
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "n": len(own), "first": first, "last": last, "size": len(x), "moments": [float(m[-1]) for m in _moments(x, decay)]}], schema=_STATE)
+
+    states = shards.mapInArrow(summarise, "shard long, n long, first string, last string, size long, moments array<double>").orderBy("shard").collect()  # one per shard
+    enter = np.full((states[-1].shard + 1 if states else 0, 5), np.nan)
     name, state = None, None
-    for shard, first, (last, size, local), n in states:
-        enter[shard] = state if first == name else None
-        state = _joined(enter[shard] if n == 1 else None, local, decay, size)
-        name = last
+    for s in states:
+        state = state if s.first == name else None
+        if state is not None:
+            enter[s.shard] = state
+        state = _joined(state if s.n == 1 else None, tuple(s.moments), decay, s.size)
+        name = s.last
     shared = df.sparkSession.sparkContext.broadcast(enter)
 
     def finish(batches):
-        previous = None
-        for shard, _, x, t in parts(batches):
-            start = shared.value[shard] if shard != previous else None
-            previous = shard
-            w, w2, _, s, n = _joined(start, _moments(x, decay), decay, np.arange(1, len(x) + 1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                std = np.sqrt(np.maximum(s, 0) / w * (w * w) / (w * w - w2))
-            std = np.where(n <= 1, 0.0, std)
-            yield from t.select(kept).append_column(out, pa.array(std, mask=np.isnan(x) | np.isnan(std))).to_batches()
+        for shard, t in tables_of(batches):
+            start = shared.value[shard]
+            before = None if np.isnan(start[0]) else tuple(start.tolist())
+            for _, x, own in parts(t):
+                w, w2, _, s, n = _joined(before, _moments(x, decay), decay, np.arange(1, len(x) + 1))
+                before = None
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    std = np.sqrt(np.maximum(s, 0) / w * (w * w) / (w * w - w2))
+                std = np.where(n <= 1, 0.0, std)
+                yield from own.select(kept).append_column(out, pa.array(std, mask=np.isnan(x) | np.isnan(std))).to_batches()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ts.fields)
     return shards.mapInArrow(finish, f"{fields}, `{out}` double")

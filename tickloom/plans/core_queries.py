@@ -12,7 +12,7 @@ from tickloom.operators.anomalies import implausible_readings
 from tickloom.operators.grid import regular_grid
 from tickloom.operators.nearest import nearest_match
 from tickloom.operators.rolling import build_tree, latest_revision, trailing_totals, update_tree
-from tickloom.operators.salted import key_shares, salted_aggregate
+from tickloom.operators.salted import key_shares, salted_aggregate, salted_top
 from tickloom.sources.tables import read_table
 
 _SLOT = "yyyy-MM-dd HH:mm"
@@ -41,6 +41,18 @@ def p1_symbol_totals(spark: SparkSession, directory: str) -> DataFrame:
     return out.withColumn("traded_value", F.floor(F.col("traded_value") * 10 + 0.37) / 10)
 
 
+def p1_symbol_profile(spark: SparkSession, directory: str) -> DataFrame:
+    """Results for which a symbol's rows cannot be added up: different venues and middle price."""
+    ticks = _tidy(read_table(spark, directory, "ticks").select("symbol", "price", "venue"))
+    return salted_aggregate(ticks.where("symbol is not null"), ["symbol"], {"n_ticks": ("count",), "n_venues": ("distinct", "venue"), "middle_price": ("quantile", F.when(_finite("price"), F.col("price")), 0.5)})
+
+
+def p1_latest(spark: SparkSession, directory: str) -> DataFrame:
+    """The three latest trades of each symbol."""
+    ticks = _tidy(read_table(spark, directory, "ticks").select("tick_id", "timestamp", "symbol").where("symbol is not null and timestamp is not null")).distinct()
+    return salted_top(ticks, ["symbol"], [F.col("timestamp").desc(), F.col("tick_id").desc()], 3)
+
+
 def _findings(spark: SparkSession, directory: str) -> DataFrame:
     ticks = _tidy(read_table(spark, directory, "ticks").select("tick_id", "timestamp", "symbol", "price", "size"))
     return implausible_readings(ticks)
@@ -135,7 +147,7 @@ def p5_corrected(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_symbol_totals, p2_found, p2_findings, p3_found, p3_grid, p4_found, p4_offsets, p5_found, p5_trailing, p5_corrected]
+    own = [p1_found, p1_symbol_totals, p1_symbol_profile, p1_latest, p2_found, p2_findings, p3_found, p3_grid, p4_found, p4_offsets, p5_found, p5_trailing, p5_corrected]
     return {f.__name__: f for f in own}
 
 
@@ -193,6 +205,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"select {_SYM} as symbol from ticks where symbol is not null group by 1 having count(*) >= 0.03 * (select count(*) from ticks)",
         "p1_symbol_totals": f"""with t as (select distinct tick_id, timestamp, {_SYM} as symbol, price, size from ticks where symbol is not null) select symbol, count(*)::bigint as n_ticks, arg_max(price, (timestamp, tick_id)) filter ({_GOOD} and timestamp is not null) as last_price,
         {_round(f"sum(price * size) filter ({_GOOD} and size >= 1)", "10")} as traded_value, count(*) filter ({_GOOD})::bigint as n_priced, max(price) filter ({_GOOD}) as top_price from t group by symbol""",
+        "p1_symbol_profile": f"select {_SYM} as symbol, count(*)::bigint as n_ticks, count(distinct venue)::bigint as n_venues, quantile_disc(price, 0.5) filter ({_GOOD}) as middle_price from ticks where symbol is not null group by 1",
+        "p1_latest": f"with t as (select distinct tick_id, timestamp, {_SYM} as symbol from ticks where symbol is not null and timestamp is not null) select tick_id, timestamp, symbol, row_number() over (partition by symbol order by timestamp desc, tick_id desc)::int as rank from t qualify rank <= 3",
         "p2_found": f"{_P2} select distinct tick_id, field from found where kind <> 'shift'",
         "p2_findings": f"{_P2} select tick_id, field, kind from found",
         "p3_found": f"{_P3} select feed, symbol, strftime(tm, '%Y-%m-%d %H:%M') as slot_start from g where tm <> slot",

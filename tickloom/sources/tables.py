@@ -8,27 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+MOST_PARTITIONS = 100_000
+
+
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset (tests), a local temporary one."""
-    jsc = spark.sparkContext._jsc.sc()
+    """The folder all executors share: spark.checkpoint.dir, or where the session has set a checkpoint folder. With a local master,
+    whose executors are one machine, a temporary one is made where both are unset; on a cluster that raises ValueError, as executors
+    would each write to a disk of their own and parts would be lost."""
+    context = spark.sparkContext._jsc.sc()
     told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        if not jsc.getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(told)
-        return told
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-"))
-    return jsc.getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder: keeps partitions and their order, survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not context.getCheckpointDir().isDefined():
+        if not told and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables are written there")
+        spark.sparkContext.setCheckpointDir(told or tempfile.mkdtemp(prefix="tickloom-"))
+    return told or context.getCheckpointDir().get()
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -50,4 +47,4 @@ def input_bytes(df: DataFrame) -> int:
 def partitions_for(df: DataFrame, mb: int = 32) -> int:
     """Partitions of about ``mb`` by that estimate, at least spark.sql.shuffle.partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(100_000, -(-input_bytes(df) // (mb << 20))))
+    return max(least, min(MOST_PARTITIONS, -(-input_bytes(df) // (mb << 20))))
