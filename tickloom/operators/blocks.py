@@ -72,17 +72,17 @@ def over_blocks(df: DataFrame, compute: Callable[[WindowSpec], Column], out: str
     return done.where(F.col(b) == home).drop(k, h, o, rn, b)
 
 
-def asof(rows: DataFrame, shift: int, *, forward: bool, width: int | None = None) -> DataFrame:
+def asof(rows: DataFrame, shift: int, *, forward: bool, width: int | None = None, asked: Column | None = None) -> DataFrame:
     """``rows`` (k, us, tie, value and others) with ``found``: the value of the last row of the same k at or before us - shift, or
     of the first at or after us + shift. Equal times: the largest tie backward, the smallest forward. Null times find nothing and are
-    not found. k must not be null.
+    not found. k must not be null. ``asked`` replaces us + shift or us - shift by a time of each row's own.
 
     Rows and questions meet in time buckets at least ``shift`` wide; a question that its bucket does not answer takes the nearest
     observation of the buckets before (after), which one row per key and bucket carries along.
     """
     width = width or max(shift, DAY_US)
     us = F.col("us")
-    asked = us + shift if forward else us - shift
+    asked = asked if asked is not None else us + shift if forward else us - shift
     seen = F.struct(us.alias("us"), F.col("tie").alias("tie"), F.col("value").alias("value"))
     whole = F.struct(*(F.col(c) for c in rows.columns))
     timed = rows.where("us is not null")

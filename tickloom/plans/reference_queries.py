@@ -83,14 +83,33 @@ def _return_blocks(spark: SparkSession, directory: str) -> DataFrame:
     return out.select("event_id", "ret")
 
 
+def _events(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    t = trades(spark, directory).where("price > 0")
+    return dynamic_labels.get_vertical_barrier_by_timedelta(t, "6h").withColumn("target", F.lit(0.5)), t
+
+
 def _triple(spark: SparkSession, directory: str) -> DataFrame:
     with Config(**_NAMES):
-        t = trades(spark, directory).where("price > 0")
-        events = dynamic_labels.get_vertical_barrier_by_timedelta(t, "6h").withColumn("target", F.lit(0.5))
+        events, t = _events(spark, directory)
         out = dynamic_labels.get_triple_barrier_label(events, t, "target", "vertical_barrier", 1.0, 1.0)
         return out.select("symbol", "ts_event", "touch_timestamp", F.col("return").alias("ret"), "label").transform(_rounded, "ret")
 
 
+def _triple_open(spark: SparkSession, directory: str) -> DataFrame:
+    """Every other event has no vertical barrier; wide horizontal ones; at the vertical barrier the sign of the return."""
+    with Config(**_NAMES):
+        events, t = _events(spark, directory)
+        events = events.withColumn("vertical_barrier", F.when(F.minute("ts_event") % 2 == 0, F.col("vertical_barrier"))).withColumn("target", F.lit(4.0))
+        out = dynamic_labels.get_triple_barrier_label(events, t, "target", "vertical_barrier", 2.0, 0.24, zero_at_vertical=False)
+        return out.select("symbol", "ts_event", "touch_timestamp", F.col("return").alias("ret"), "label").transform(_rounded, "ret")
+
+
+def _profit_stop(spark: SparkSession, directory: str) -> DataFrame:
+    with Config(**_NAMES):
+        events, t = _events(spark, directory)
+        return dynamic_labels.apply_profit_taking_stop_loss(events, t, "target", "vertical_barrier", 3.0, 1.5).select("symbol", "ts_event", "vertical_barrier", "profit_take_touch", "stop_loss_touch")
+
+
 def _coerced(spark: SparkSession, directory: str) -> DataFrame:
     return trades(spark, directory).select("event_id", parse_into_expr("price").alias("by_name"), parse_into_expr("price", str_as_lit=True).alias("by_text"), parse_into_expr(42, dtype="double").alias("number"))
 
@@ -114,6 +133,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "frac_diff_blocks": _frac_diff_blocks,
         "fixed_time_return_blocks": _return_blocks,
         "triple_barrier": _triple,
+        "triple_barrier_open": _triple_open,
+        "profit_taking_stop_loss": _profit_stop,
         "parse_into_expr": _coerced,
     }
 
@@ -185,6 +206,18 @@ def _frac_sql() -> str:
     return f"select event_id, {_r(total)} as fd from ({_T}) window w as (partition by symbol order by ts_event, event_id)"
 
 
+def _paths_sql(barrier: str, up: float, down: float) -> str:
+    return f"""with t as (select * from ({_T}) where price > 0), v as (select a.symbol, a.ts_event, a.price, b.ts_event as vb from t a asof left join t b on a.symbol = b.symbol and a.ts_event + interval 6 hour <= b.ts_event),
+    e as (select symbol, ts_event, price, {barrier} as vb from v), f as (select e.*, coalesce(vb, last) as fin from e join (select symbol, max(ts_event) as last from t group by 1) using (symbol)),
+    p as (select f.symbol, f.ts_event, f.vb, f.fin, t.ts_event as u, t.price / f.price - 1 as r from f join t on t.symbol = f.symbol and t.ts_event >= f.ts_event and t.ts_event <= f.fin),
+    h as (select symbol, ts_event, any_value(vb) as vb, any_value(fin) as fin, min(u) filter (u > ts_event and r >= {up}) as up, min(u) filter (u > ts_event and r <= {down}) as down from p group by 1, 2)"""
+
+
+def _triple_sql(barrier: str, up: float, down: float, at_end: str) -> str:
+    return f"""{_paths_sql(barrier, up, down)} select h.symbol, h.ts_event, coalesce(least(up, down), h.fin) as touch_timestamp, {_r("p.r")} as ret, (case when least(up, down) is null then {at_end} else sign(p.r) end)::int as label
+    from h join p on p.symbol = h.symbol and p.ts_event = h.ts_event and p.u = coalesce(least(h.up, h.down), h.fin)"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "time_bars_15m": _time_sql("time_bucket(interval 15 minutes, ts_event, timestamp '1970-01-01')"),
@@ -215,12 +248,9 @@ def oracle_sql() -> dict[str, str]:
         "frac_diff": _frac_sql(),
         "frac_diff_blocks": _frac_sql(),
         "fixed_time_return_blocks": f"select event_id, ret from ({_RET})",
-        "triple_barrier": f"""with t as (select * from ({_T}) where price > 0), e as (select a.symbol, a.ts_event, a.price, b.ts_event as vb from t a asof left join t b on a.symbol = b.symbol and a.ts_event + interval 6 hour <= b.ts_event),
-    f as (select e.*, coalesce(vb, (select max(ts_event) from t x where x.symbol = e.symbol)) as fin from e),
-    p as (select f.symbol, f.ts_event, f.fin, t.ts_event as u, t.price / f.price - 1 as r from f join t on t.symbol = f.symbol and t.ts_event >= f.ts_event and t.ts_event <= f.fin),
-    h as (select symbol, ts_event, any_value(fin) as fin, min(u) filter (u > ts_event and (r >= 0.5 or r <= -0.5)) as hit from p group by 1, 2)
-    select h.symbol, h.ts_event, coalesce(hit, h.fin) as touch_timestamp, {_r("p.r")} as ret, (case when hit is null then 0 else sign(p.r) end)::int as label
-    from h join p on p.symbol = h.symbol and p.ts_event = h.ts_event and p.u = coalesce(h.hit, h.fin)""",
+        "triple_barrier": _triple_sql("vb", 0.5, -0.5, "0"),
+        "triple_barrier_open": _triple_sql("case when minute(ts_event) % 2 = 0 then vb end", 8.0, -0.96, "sign(p.r)"),
+        "profit_taking_stop_loss": f"""{_paths_sql("vb", 1.5, -0.75)} select symbol, ts_event, vb as vertical_barrier, up as profit_take_touch, down as stop_loss_touch from h""",
         "parse_into_expr": f"select event_id, price as by_name, 'price' as by_text, 42::double as number from ({_T})",
     }
 
