@@ -8,16 +8,17 @@ columns raise ValueError.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, DoubleType, LongType, StructField, StructType, TimestampNTZType, TimestampType
 
 from tickloom.config import column_names
-from tickloom.functions.columns import INTEGRAL, NUMERIC, col, require, require_type
+from tickloom.functions.columns import INTEGRAL, NUMERIC, col, fresh, require, require_type
 from tickloom.functions.durations import DAY_US, bucket_start, parse_duration, to_micros
 from tickloom.operators.blocks import running_totals, solid, time_bucket
 from tickloom.sources.ship import ship
@@ -107,53 +108,208 @@ def tick_bars(df: DataFrame, *, bar_size: int = 100, split_by_date: bool = True,
     return _result(bars.withColumn("__sym", _symbol()), sort=sort)
 
 
-def volume_bars(df: DataFrame, *, bar_size: int = 10_000, split_by_date: bool = True, tie_breakers: Sequence[str] | None = None, sort: bool = False) -> DataFrame:
+def volume_bars(df: DataFrame, *, bar_size: float = 10_000, split_by_date: bool = True, tie_breakers: Sequence[str] | None = None, sort: bool = False) -> DataFrame:
     """Bars of ``bar_size`` traded units per symbol[, day]; a trade is split over as many bars as it fills.
 
-    Sizes that are null or not above 0 are left out. With the running total ``hi`` after a trade and ``lo`` before it, the trade
-    lies in bars ``lo div B .. (hi - 1) div B``, so no row is replicated per unit. Fractional sizes are rejected.
+    Sizes that are null or not above 0 are left out. With whole sizes and the running total ``hi`` after a trade and ``lo`` before
+    it, the trade lies in bars ``lo div B .. (hi - 1) div B``: no row is replicated per unit and a busy symbol is spread over its
+    hours. Fractional sizes are added up in order as they are, by :func:`bar_groups`, a (symbol[, day]) in one task; the volume
+    column, a whole number, is their sum cut off.
     """
     _check_size(bar_size)
     trades = _trades(df, tie_breakers, positive_size=True)
-    require_type(trades, "__s", INTEGRAL, "integral for volume bars")
-    running = _running(trades.withColumn("__s", F.col("__s").cast("long")), split_by_date, F.col("__s"))
-    b = F.lit(int(bar_size)).cast("long")
-    hi, lo, bar = F.col("__hi"), F.col("__hi") - F.col("__s"), F.col("__bar")
-    div = lambda x: F.call_function("div", x, b)
-    pieces = (
-        running.withColumn("__bar", F.explode(F.sequence(div(lo), div(hi - 1))))
-        .withColumn("__s", F.least(hi, (bar + 1) * b) - F.greatest(lo, bar * b))
-    )
+    if isinstance(trades.schema["__s"].dataType, INTEGRAL):
+        running = _running(trades.withColumn("__s", F.col("__s").cast("long")), split_by_date, F.col("__s"))
+        pieces = _split(running.withColumnRenamed("__s", "__own"), F.col("__hi"), F.col("__own"), int(bar_size), "__bar", "__s")
+    else:
+        day = time_bucket(to_micros(F.col("__t")), DAY_US) if split_by_date else F.lit(0).cast("long")
+        keyed = trades.withColumns({"__key": solid(F.col("__sym")), "__day": day})
+        pieces = bar_groups(keyed, "__s", bar_size, partition_by=["__key", "__day"], order_by=[_ORDER])
+        pieces = pieces.drop("__s").withColumnsRenamed({"bar_group__id": "__bar", "bar_group__amount": "__s"})
     bars = pieces.groupBy("__key", "__day", "__bar").agg(*_ohlcv())
     return _result(bars.withColumn("__sym", _symbol()), sort=sort)
 
 
+_BLOCK = 64
+
+
+class BarScan:
+    """Cuts values in order into groups of ``bar_size``; two numbers of state carry over from batch to batch.
+
+    With splits a value fills the current group and goes on into as many more as it needs; without, it goes whole to the current
+    group, which closes once its sum reaches the size. Sums are taken in order in the values' own type; work is vectorised per
+    group, not per value. Values that are null or not above 0 have no part with splits; without, null counts as 0.
+    """
+
+    def __init__(self, bar_size: float, allow_splits: bool = True, kind: str = "float64") -> None:
+        self.kind = np.dtype(kind)
+        self.size, self.splits = self.kind.type(bar_size), allow_splits
+        self.sum, self.group = self.kind.type(0), 0
+
+    def _first_full(self, values: np.ndarray, at: int) -> tuple[int, np.ndarray]:
+        """Position of the value that fills the group, or the end, and the running sums before each value up to there."""
+        width, start, sums = _BLOCK, at, [np.array([self.sum], dtype=self.kind)]
+        while start < len(values):
+            run = np.cumsum(np.concatenate([sums[-1][-1:], values[start : start + width]]), dtype=self.kind)[1:]
+            full = np.flatnonzero(run >= self.size)
+            if len(full):
+                sums.append(run[: full[0]])
+                return start + int(full[0]), np.concatenate(sums)
+            sums.append(run)
+            start, width = start + width, width * 2
+        return len(values), np.concatenate(sums)
+
+    def pieces(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, group, amount) of the next values."""
+        values = np.asarray(values, dtype=self.kind)
+        kept = np.flatnonzero(values > 0) if self.splits else np.arange(len(values))
+        values = values[kept]
+        rows, groups, amounts = [np.empty(0, dtype="int64")], [np.empty(0, dtype="int64")], [np.empty(0, dtype=self.kind)]
+        at = 0
+        while at < len(values):
+            full, sums = self._first_full(values, at)
+            whole = full if self.splits else min(full + 1, len(values))
+            rows.append(kept[at:whole])
+            groups.append(np.full(whole - at, self.group, dtype="int64"))
+            amounts.append(values[at:whole])
+            if full == len(values):
+                self.sum = sums[-1]
+                break
+            rest = self.kind.type(0)
+            if self.splits:
+                parts = [self.size - sums[-1]]
+                rest = values[full] - parts[0]
+                while rest >= self.size:
+                    parts.append(self.size)
+                    rest = rest - self.size
+                filled = len(parts)
+                if rest > 0:
+                    parts.append(rest)
+                rows.append(np.full(len(parts), kept[full], dtype="int64"))
+                groups.append(self.group + np.arange(len(parts)))
+                amounts.append(np.array(parts, dtype=self.kind))
+                self.group += filled
+            else:
+                self.group += 1
+            self.sum, at = rest, full + 1
+        return np.concatenate(rows), np.concatenate(groups), np.concatenate(amounts)
+
+
 class DollarScan:
     """Fills bars share by share: a bar closes with the share that brings its value to ``bar_size``, and the rest of that share's
-    value is dropped. Two numbers of state; work per trade is constant plus its pieces."""
+    value is dropped. Two numbers of state; whole trades are found by running sums, arithmetic per share is never done."""
 
     def __init__(self, bar_size: float) -> None:
-        self.bar_size, self.value, self.bar = bar_size, 0.0, 0
+        self.bar_size, self.bar = float(bar_size), 0
+        self._scan = BarScan(bar_size, False)
 
-    def pieces(self, prices: Sequence[float], sizes: Sequence[int]) -> Iterator[tuple[int, int, int]]:
+    def pieces(self, prices: Sequence[float], sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, bar, shares) of the next trades in order."""
-        full_bar = self.bar_size
-        for row, (p, n) in enumerate(zip(prices, sizes)):
-            if self.value + n * p < full_bar or not p > 0:
-                yield row, self.bar, n
-                self.value += n * p if p > 0 else 0.0
+        p, n = np.asarray(prices, dtype="float64"), np.asarray(sizes, dtype="int64")
+        value = np.where(p > 0, n * p, 0.0)
+        rows, bars, shares = [np.empty(0, dtype="int64")], [np.empty(0, dtype="int64")], [np.empty(0, dtype="int64")]
+        scan, at, full_bar = self._scan, 0, self.bar_size
+        while at < len(p):
+            full, sums = scan._first_full(value, at)
+            rows.append(np.arange(at, full))
+            bars.append(np.full(full - at, self.bar))
+            shares.append(n[at:full])
+            scan.sum = sums[-1]
+            if full == len(p):
+                break
+            price, left = float(p[full]), int(n[full])
+            k = min(left, max(1, ceil((full_bar - float(scan.sum)) / price)))  # min: rounding at the edge, the whole trade fits
+            per_bar = ceil(full_bar / price)
+            whole, rest = divmod(left - k, per_bar)
+            own = [k, *[per_bar] * whole, *([rest] if rest else [])]
+            rows.append(np.full(len(own), full))
+            bars.append(self.bar + np.arange(len(own)))
+            shares.append(np.array(own))
+            self.bar += 1 + whole
+            scan.sum, at = np.float64(rest * price), full + 1
+        return np.concatenate(rows), np.concatenate(bars), np.concatenate(shares)
+
+
+def _scanned(in_order: DataFrame, key: str, make: Callable[[], object], feed: Callable[[object, pa.RecordBatch], tuple], drop: Sequence[str], schema: str | StructType, names: tuple[str, str]) -> DataFrame:
+    """Rows taken by the pieces of a scan that starts anew with each key; the frame is sorted by key and order in its partitions.
+    Batches stream through, so memory does not grow with a key's rows."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            k = min(n, max(1, ceil((full_bar - self.value) / p)))  # min: rounding at the edge, the whole trade fits
-            yield row, self.bar, k
-            self.bar, n, self.value = self.bar + 1, n - k, 0.0
-            per_bar = ceil(full_bar / p)
-            whole, rest = divmod(n, per_bar)
-            for i in range(whole):
-                yield row, self.bar + i, per_bar
-            self.bar += whole
-            if rest:
-                yield row, self.bar, rest
-                self.value = rest * p
+            keys = batch.column(key).dictionary_encode()
+            codes = keys.indices.to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+            found = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                name = keys.dictionary[int(codes[a])].as_py()
+                if name != current:
+                    current, state = name, make()
+                row, group, amount = feed(state, batch.slice(a, b - a))
+                found.append((row + a, group, amount))
+            row, group, amount = (np.concatenate(x) for x in zip(*found))
+            kept = batch.select([c for c in batch.schema.names if c not in drop]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(group), pa.array(amount)], names=[*kept.schema.names, *names])
+
+    ship(in_order.sparkSession)
+    return in_order.mapInArrow(scan, schema)
+
+
+_KINDS = {"float": "float32", "double": "float64", "int": "int32"}
+
+
+def bar_groups(df: DataFrame, measure: str, bar_size: float, *, allow_splits: bool = True, partition_by: Sequence[str] = (), order_by: Sequence[str]) -> DataFrame:
+    """Groups of ``bar_size`` of any measure: the frame's rows with ``bar_group__id`` (from 0 per partition) and
+    ``bar_group__amount`` (of the measure's type), one row per piece of a value.
+
+    With ``allow_splits`` a value is split over as many groups as it fills; without, it goes whole to the current group, which
+    closes once its sum reaches the size. ``order_by`` must make ties definite. The size is cut to the measure's type. With splits,
+    values that are null or not above 0 give no row; without, null counts as 0. NaN values reach no size. An empty frame stays empty.
+
+    Whole numbers with splits, ordered by a timestamp first, are grouped by running totals, which spread a partition that holds most
+    rows. Everything else depends on the sums before it: a partition is scanned in order by one task, in batches and with two
+    numbers of state, sorted by Spark; so it needs time, not memory.
+    """
+    require(df, measure, *partition_by, *order_by)
+    require_type(df, measure, NUMERIC, "numeric")
+    if taken := {"bar_group__id", "bar_group__amount"} & set(df.columns):
+        raise ValueError(f"the frame already has {sorted(taken)}")
+    if not order_by:
+        raise ValueError("order_by must name a column")
+    _check_size(bar_size)
+    kind = df.schema[measure].dataType
+    value = col(measure)
+    if isinstance(kind, DecimalType):
+        value, kind = value.cast("double"), DoubleType()
+    dtype = _KINDS.get(kind.simpleString(), "int64")
+    if dtype.startswith("int") and int(bar_size) < 1:
+        raise ValueError("bar_size must be at least 1 for whole numbers")
+    k, o, v, h, hi = (fresh(n, df.columns) for n in ("__key", "__order", "__value", "__hour", "__hi"))
+    key = F.concat_ws("\x1f", *(solid(col(c)) for c in partition_by)) if partition_by else F.lit("")
+    rows = df.withColumns({k: key, o: F.struct(*(col(c) for c in order_by)), v: value})
+    if allow_splits and dtype.startswith("int") and isinstance(df.schema[order_by[0]].dataType, (TimestampNTZType, TimestampType)):
+        rows = rows.where(F.col(v) > 0).withColumns({h: time_bucket(to_micros(col(order_by[0]))), v: F.col(v).cast("long")})
+        total = running_totals(rows, [k], h, o, F.col(v), hi)
+        out = _split(total, F.col(hi), F.col(v), int(bar_size), "bar_group__id", "bar_group__amount")
+        return out.select(*(col(c) for c in df.columns), "bar_group__id", F.col("bar_group__amount").cast(kind).alias("bar_group__amount"))
+    in_order = rows.repartition(k).sortWithinPartitions(k, o).drop(o)
+
+    def feed(state: BarScan, batch: pa.RecordBatch) -> tuple:
+        return state.pieces(batch.column(v).fill_null(0).to_numpy(zero_copy_only=False))
+
+    schema = StructType([*df.schema.fields, StructField("bar_group__id", LongType()), StructField("bar_group__amount", kind)])
+    return _scanned(in_order, k, lambda: BarScan(bar_size, allow_splits, dtype), feed, (k, v), schema, ("bar_group__id", "bar_group__amount"))
+
+
+def _split(df: DataFrame, hi: Column, amount: Column, bar_size: int, bar: str, out: str) -> DataFrame:
+    """Pieces of whole amounts with running totals ``hi``: an amount lies in bars ``lo div B .. (hi - 1) div B``."""
+    b = F.lit(bar_size).cast("long")
+    lo = hi - amount
+    div = lambda x: F.call_function("div", x, b)
+    cut = df.withColumn(bar, F.explode(F.sequence(div(lo), div(hi - 1))))
+    return cut.withColumn(out, F.least(hi, (F.col(bar) + 1) * b) - F.greatest(lo, F.col(bar) * b))
 
 
 def dollar_bars(df: DataFrame, *, bar_size: float = 1_000_000.0, split_by_date: bool = True, tie_breakers: Sequence[str] | None = None, sort: bool = False) -> DataFrame:
@@ -172,27 +328,10 @@ def dollar_bars(df: DataFrame, *, bar_size: float = 1_000_000.0, split_by_date:
     keyed = trades.select(F.concat(day, F.lit(_CUT), solid(F.col("__sym"))).alias("__key"), "__t", checked.alias("__p"), F.col("__s").cast("long").alias("__s"), _ORDER)
     in_order = keyed.repartition("__key").sortWithinPartitions("__key", _ORDER).drop(_ORDER)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, DollarScan(bar_size)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column("__key").dictionary_encode()
-            codes = names.indices.to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
-            prices, sizes = batch.column("__p").to_pylist(), batch.column("__s").to_pylist()
-            out: list[tuple[int, int, int]] = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                name = names.dictionary[int(codes[a])].as_py()
-                if name != key:
-                    key, state = name, DollarScan(bar_size)
-                out += [(a + row, bar, n) for row, bar, n in state.pieces(prices[a:b], sizes[a:b])]
-            rows, bars, shares = (pa.array(x, type=pa.int64()) for x in zip(*out))
-            kept = batch.take(rows)
-            yield pa.RecordBatch.from_arrays([kept.column("__key"), kept.column("__t"), kept.column("__p"), bars, shares], names=["__key", "__t", "__p", "__bar", "__s"])
-
-    ship(df.sparkSession)
-    pieces = in_order.mapInArrow(scan, "__key string, __t timestamp_ntz, __p double, __bar long, __s long")
+    def feed(state: DollarScan, batch: pa.RecordBatch) -> tuple:
+        return state.pieces(batch.column("__p").to_numpy(zero_copy_only=False), batch.column("__s").to_numpy(zero_copy_only=False))
+
+    pieces = _scanned(in_order, "__key", lambda: DollarScan(bar_size), feed, ("__s",), "__key string, __t timestamp_ntz, __p double, __bar long, __s long", ("__bar", "__s"))
     merged = pieces.groupBy("__key", "__bar", "__t", "__p").agg(F.sum("__s").alias("__s")).withColumn(_ORDER, F.struct("__t", "__p"))
     bars = merged.groupBy("__key", "__bar").agg(*_ohlcv())
     symbol = F.expr(f"substring(__key, locate('{_CUT}', __key) + 1)")

@@ -36,6 +36,21 @@ def _bars(make: Callable[..., DataFrame], **options: object) -> Callable[[SparkS
     return run
 
 
+def _volume_float(spark: SparkSession, directory: str) -> DataFrame:
+    with Config(**_NAMES):
+        t = trades(spark, directory).withColumn("size", F.col("size") / 4)
+        return _rounded(bars.volume_bars(t, bar_size=512.25, tie_breakers=["event_id"]), "vwap")
+
+
+def _groups(allow_splits: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, directory: str) -> DataFrame:
+        t = trades(spark, directory).withColumn("size", F.col("size") / 4)
+        out = bars.bar_groups(t, "size", 512.25, allow_splits=allow_splits, partition_by=["symbol"], order_by=["ts_event", "event_id"])
+        return out.select("event_id", "bar_group__id", "bar_group__amount")
+
+    return run
+
+
 def _lineitem_ticks(spark: SparkSession, directory: str) -> DataFrame:
     """Heavy ties: all times are midnights."""
     t = read_table(spark, directory, "lineitem").select(F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts_event"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"), F.col("l_quantity").cast("bigint").alias("size"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -122,6 +137,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[f"dollar_bars_{name}"] = _bars(bars.dollar_bars, bar_size=5_000.0, split_by_date=split)
     return out | {
         "tick_bars_ties": _lineitem_ticks,
+        "volume_bars_float": _volume_float,
+        "bar_groups_split": _groups(True),
+        "bar_groups_overflow": _groups(False),
         "fixed_time_return": _fixed_return,
         "classification_sign": _classify(None),
         "classification_threshold": _classify(0.3),
@@ -155,6 +173,24 @@ def _tick_sql(split: bool) -> str:
     select symbol, {_OHLC} from (select symbol, b, {"d," if split else ""} {_AGG} from n group by {by}, b)"""
 
 
+_QUARTERS = f"select symbol, ts_event, price, size / 4 as size, event_id from ({_T})"
+
+
+def _pieces_sql(by: str) -> str:
+    """Quarter sizes are exact as doubles, so running totals give what adding up in order does."""
+    return f"""t as (select *, ts_event::date as d from ({_QUARTERS}) where price is not null and size > 0),
+    c as (select *, sum(size) over (partition by {by} order by ts_event, event_id rows unbounded preceding) as hi from t),
+    p as (select *, unnest(range(floor((hi - size) / 512.25)::bigint, (ceil(hi / 512.25))::bigint)) as b from c),
+    q as (select * exclude (size), least(hi, (b + 1) * 512.25) - greatest(hi - size, b * 512.25) as size from p)"""
+
+
+_OVERFLOW_SQL = f"""with recursive n as (select symbol, event_id, size::double as v, row_number() over (partition by symbol order by ts_event, event_id) as i from ({_QUARTERS})),
+    scan as (select symbol, i, event_id, v, 0::bigint as g, case when v >= 512.25::double then 1 else 0 end::bigint as full, case when v >= 512.25::double then 0 else v end::double as s from n where i = 1
+      union all
+      select n.symbol, n.i, n.event_id, n.v, x.g + x.full, case when x.s + n.v >= 512.25::double then 1 else 0 end::bigint, case when x.s + n.v >= 512.25::double then 0 else x.s + n.v end::double from scan x join n on n.symbol = x.symbol and n.i = x.i + 1)
+    select event_id, g as bar_group__id, v as bar_group__amount from scan"""
+
+
 def _volume_sql(split: bool) -> str:
     by = "symbol, d" if split else "symbol"
     return f"""with t as (select *, ts_event::date as d from ({_T}) where price is not null and size > 0),
@@ -229,6 +265,8 @@ def oracle_sql() -> dict[str, str]:
     for name, split in (("date", True), ("nodate", False)):
         out |= {f"tick_bars_{name}": _tick_sql(split), f"volume_bars_{name}": _volume_sql(split), f"dollar_bars_{name}": _dollar_sql(split)}
     lineitem = "select l_returnflag as symbol, l_shipdate::timestamp as ts_event, (l_extendedprice / l_quantity)::double as price, l_quantity::bigint as size, l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem"
+    out["volume_bars_float"] = f"with {_pieces_sql('symbol, d')} select symbol, {_OHLC} from (select symbol, b, d, {_AGG.replace('sum(size)::bigint', 'trunc(sum(size))::bigint')} from q group by symbol, d, b)"
+    out |= {"bar_groups_split": f"with {_pieces_sql('symbol')} select event_id, b as bar_group__id, size::double as bar_group__amount from q", "bar_groups_overflow": _OVERFLOW_SQL}
     agg = _AGG.replace("(ts_event, event_id)", "i")
     out["tick_bars_ties"] = f"""with n as (select *, row_number() over (partition by symbol, ts_event order by ts_event, l_orderkey, l_linenumber, l_partkey, l_suppkey) as i from ({lineitem}) where price is not null)
     select symbol, ts_event_start, ts_event_end, {_r("open")} as open, {_r("high")} as high, {_r("low")} as low, {_r("close")} as close, vwap, volume, n_trades from (select symbol, {agg} from n group by symbol, ts_event, (i - 1) // 50)"""
