@@ -1,4 +1,4 @@
-"""Queries p6 to p8 over documents."""
+"""Queries p4 over quotes and ticks, p6 to p8 over documents."""
 
 from __future__ import annotations
 
@@ -7,13 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.columns import tidy_symbol
 from tickloom.llm import text
 from tickloom.llm.leaks import find_leaks
 from tickloom.llm.mixing import mix, mix_report
+from tickloom.llm.nearest import nearest_match
 from tickloom.llm.subjects import assign_subjects, fit_subjects
 from tickloom.sources.tables import read_table
 
 
+def _pairs(spark: SparkSession, directory: str, **options: object) -> DataFrame:
+    tidy = lambda df: df.withColumn("symbol", tidy_symbol("symbol"))
+    quotes = tidy(read_table(spark, directory, "quotes").select("quote_id", "ts_event", "symbol"))
+    ticks = tidy(read_table(spark, directory, "ticks").select("tick_id", "timestamp", "symbol"))
+    return nearest_match(quotes, ticks, left_key="symbol", left_time="ts_event", left_id="quote_id", right_key="symbol", right_time="timestamp", right_id="tick_id", tolerance="2s", **options)
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _pairs(spark, directory).select(F.col("left_id").alias("quote_id"), F.col("right_id").alias("tick_id")).distinct()
+
+
+def p4_offsets(spark: SparkSession, directory: str) -> DataFrame:
+    return _pairs(spark, directory).select(F.col("left_id").alias("quote_id"), F.col("right_id").alias("tick_id"), "offset_us").distinct()
+
+
+def p4_unmatched(spark: SparkSession, directory: str) -> DataFrame:
+    """The quotes without a tick within the tolerance, those without symbol or time included."""
+    return _pairs(spark, directory, keep_unmatched=True).where("right_id is null").select(F.col("left_id").alias("quote_id")).distinct()
+
+
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return find_leaks(read_table(spark, directory, "documents"), read_table(spark, directory, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -44,7 +66,7 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_quoted, p7_found, p7_report, p7_mix, p8_found)}
+    return {f.__name__: f for f in (p4_found, p4_offsets, p4_unmatched, p6_found, p6_quoted, p7_found, p7_report, p7_mix, p8_found)}
 
 
 def _plain_sql(column: str) -> str:
@@ -60,6 +82,15 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+_SYM = "upper(trim(symbol))"
+_P4 = f"""with t as (select {_SYM} as s, timestamp as ts, min(tick_id) as tick_id from ticks where symbol is not null and timestamp is not null group by 1, 2),
+q as (select distinct quote_id, {_SYM} as s, ts_event as ts from quotes where symbol is not null and ts_event is not null),
+b as (select q.*, t.ts as bt, t.tick_id as bid from q asof left join t on q.s = t.s and q.ts >= t.ts),
+a as (select b.*, t.ts as nt, t.tick_id as aid from b asof left join t on b.s = t.s and b.ts <= t.ts),
+d as (select *, date_diff('microsecond', bt, ts) as db, date_diff('microsecond', ts, nt) as da from a),
+m as (select quote_id, case when db is not null and (da is null or db <= da) then bid else aid end as tick_id, case when db is not null and (da is null or db <= da) then -db else da end as offset_us from d)
+select {{}} from m where abs(offset_us) <= 2000000"""
+
 _QUOTED = f"""with d as (select doc_id, {_plain_sql("text")} as body from documents where doc_id is not null and length(text) > 0),
 i as (select item_id, list_filter(list_transform(string_split_regex(lower(passage), '\\s+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), lambda w: w <> '') as words from eval_items where item_id is not null and passage is not null),
 q as (select distinct item_id, array_to_string(words[k : k + 19], '') as quote from (select item_id, words, unnest(range(1, len(words) - 18)) as k from i))
@@ -67,4 +98,9 @@ select distinct doc_id, item_id from d join q on contains(body, quote)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_quoted": _QUOTED}
+    return {
+        "p4_found": _P4.format("quote_id, tick_id"),
+        "p4_offsets": _P4.format("quote_id, tick_id, offset_us"),
+        "p4_unmatched": f"select distinct quote_id from quotes where quote_id not in (select quote_id from ({_P4.format('quote_id')}))",
+        "p6_quoted": _QUOTED,
+    }
