@@ -1,4 +1,4 @@
-"""Queries p1 to p5 over ticks, quotes and bars, and their SQL."""
+"""Queries p1 to p3 and p5 over ticks and bars, and their SQL."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tickloom.functions.columns import tidy_symbol
 from tickloom.operators.anomalies import implausible_readings
 from tickloom.operators.grid import regular_grid
-from tickloom.operators.nearest import nearest_match
 from tickloom.operators.rolling import build_tree, latest_revision, trailing_totals, update_tree
 from tickloom.operators.salted import key_shares, salted_aggregate, salted_top
 from tickloom.sources.tables import read_table
@@ -83,22 +82,6 @@ def p3_grid(spark: SparkSession, directory: str) -> DataFrame:
     return grid.select("feed", "symbol", F.date_format("slot_start", _SLOT).alias("slot_start"), (F.floor(F.col("value") * 1e6 + 0.37) / 1e6).alias("value"), "status")
 
 
-def _pairs(spark: SparkSession, directory: str) -> DataFrame:
-    quotes = _tidy(read_table(spark, directory, "quotes").select("quote_id", "ts_event", "symbol"))
-    ticks = _tidy(read_table(spark, directory, "ticks").select("tick_id", "timestamp", "symbol"))
-    return nearest_match(quotes, ticks, left_key="symbol", left_time="ts_event", left_id="quote_id", right_key="symbol", right_time="timestamp", right_id="tick_id", tolerance="2s")
-
-
-def p4_found(spark: SparkSession, directory: str) -> DataFrame:
-    return _pairs(spark, directory).select(F.col("left_id").alias("quote_id"), F.col("right_id").alias("tick_id")).distinct()
-
-
-def p4_offsets(spark: SparkSession, directory: str) -> DataFrame:
-    return _pairs(spark, directory).select(F.col("left_id").alias("quote_id"), F.col("right_id").alias("tick_id"), "offset_us").distinct()
-
-
-
-
 def _measured(bars: DataFrame) -> tuple[DataFrame, dict]:
     close = F.col("close").isNotNull() & ~F.isnan("close")
     kept = bars.where("symbol is not null and ts_event_start is not null").withColumn("trade_day", F.to_date("ts_event_start"))
@@ -147,7 +130,7 @@ def p5_corrected(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_symbol_totals, p1_symbol_profile, p1_latest, p2_found, p2_findings, p3_found, p3_grid, p4_found, p4_offsets, p5_found, p5_trailing, p5_corrected]
+    own = [p1_found, p1_symbol_totals, p1_symbol_profile, p1_latest, p2_found, p2_findings, p3_found, p3_grid, p5_found, p5_trailing, p5_corrected]
     return {f.__name__: f for f in own}
 
 
@@ -176,14 +159,6 @@ s as (select feed, symbol, time_bucket(interval 30 minutes, tm, timestamp '1970-
 p as (select *, lead(slot) over w as nx, lead(v0) over w as v2, lead(t0) over w as t2 from s window w as (partition by feed, symbol, slot::date order by slot)),
 g as (select *, unnest(generate_series(slot, coalesce(nx - interval 30 minutes, slot), interval 30 minutes)) as tm from p)"""
 
-_P4 = f"""with t as (select {_SYM} as s, timestamp as ts, min(tick_id) as tick_id from ticks where symbol is not null and timestamp is not null group by 1, 2),
-q as (select distinct quote_id, {_SYM} as s, ts_event as ts from quotes where symbol is not null and ts_event is not null),
-b as (select q.*, t.ts as bt, t.tick_id as bid from q asof left join t on q.s = t.s and q.ts >= t.ts),
-a as (select b.*, t.ts as nt, t.tick_id as aid from b asof left join t on b.s = t.s and b.ts <= t.ts),
-d as (select *, date_diff('microsecond', bt, ts) as db, date_diff('microsecond', ts, nt) as da from a),
-m as (select quote_id, case when db is not null and (da is null or db <= da) then bid else aid end as tick_id, case when db is not null and (da is null or db <= da) then -db else da end as offset_us from d)
-select {{}} from m where abs(offset_us) <= 2000000"""
-
 _P5 = f"""with u as (select distinct bar_id, revision, {_SYM} as symbol, ts_event_start, close, volume from bars),
 l as (select * from u qualify row_number() over (partition by bar_id order by revision desc) = 1),
 k as (select symbol, ts_event_start::date as day, sum(coalesce(volume, 0)) as v, sum(close) as c, count(close) as n, count(*) as bars from l where symbol is not null and ts_event_start is not null group by 1, 2),
@@ -211,8 +186,6 @@ def oracle_sql() -> dict[str, str]:
         "p2_findings": f"{_P2} select tick_id, field, kind from found",
         "p3_found": f"{_P3} select feed, symbol, strftime(tm, '%Y-%m-%d %H:%M') as slot_start from g where tm <> slot",
         "p3_grid": f"{_P3} select feed, symbol, strftime(tm, '%Y-%m-%d %H:%M') as slot_start, {_round(f'case when tm = slot or {missing} <= 4 then {line} end')} as value, case when tm = slot then 'observed' when {missing} <= 4 then 'interpolated' else 'gap' end as status from g",
-        "p4_found": _P4.format("quote_id, tick_id"),
-        "p4_offsets": _P4.format("quote_id, tick_id, offset_us"),
         "p5_found": f"{_P5} select symbol, strftime(day, '%Y-%m-%d') as trade_day from w where coalesce(v7, 0) = 0 and v30 > 0",
         "p5_trailing": trailing,
         "p5_corrected": trailing,
