@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tickloom.llm.mixing import VOCABULARY, _encoder, draw_slots, mix, mix_report, pack, permuted, plan, tokenised
+from tickloom.llm.mixing import VOCABULARY, _encoder, block_sizes, draw_slots, mix, mix_report, mix_with_report, pack, permuted, plan, tokenised, within_capacity
 
 DOCS, TARGETS = "doc_id bigint, text string, source string", "source string, target_share double, max_uses int"
 
@@ -37,8 +37,11 @@ def test_pack_round_trip(corpus, encoder, block):
     data, df = corpus
     tokens = tokenised(df, with_tokens=True)
     parts = {}
-    for r in pack(tokens, block, buckets=5).collect():
+    sizes = {(r.source, r.block): r.n_tokens for r in block_sizes(tokens, block).collect()}
+    for r in pack(tokens, block).collect():
+        assert len(r.tokens) == 2 * sizes.pop((r.source, r.block))
         parts.setdefault(r.source, {})[r.block] = np.frombuffer(r.tokens, dtype="<u2")
+    assert not sizes
     for s in ("big", "mid", "tiny"):
         own = parts[s]
         assert sorted(own) == list(range(len(own))) and all(len(own[b]) == block for b in range(len(own) - 1))
@@ -59,11 +62,28 @@ def test_permutations(n):
 def test_plan():
     sizes = [("a", 10, 1_000), ("b", 10, 8_000), ("c", 10, 1_000), (None, 3, 0)]
     p = {r["source"]: r for r in plan(sizes, [("a", 0.3, 1), ("b", 0.5, 2), ("c", 0.15, 2), ("gone", 0.05, 3)], 10)}
-    assert {s for s, r in p.items() if r["short"]} == {"a", "gone"}
+    assert {s: r["quota"] for s, r in p.items()} == {"a": 100, "b": None, "c": 200, "gone": 0}
     assert p["a"]["weight"] == pytest.approx(0.1) and p["gone"]["weight"] == 0 and p["c"]["weight"] == pytest.approx(0.2)
     assert sum(r["weight"] for r in p.values()) == pytest.approx(1)
-    # exactly reachable is not short
-    assert not plan([("a", 1, 50), ("b", 1, 50)], [("a", 0.5, 1), ("b", 0.5, 1)], 10)[0]["short"]
+    # exactly reachable is not short; a tiny source that cannot reach its share gives all it has, though that is more slots
+    assert plan([("a", 1, 50), ("b", 1, 50)], [("a", 0.5, 1), ("b", 0.5, 1)], 10)[0]["quota"] is None
+    tiny = plan([("a", 1, 10_000), ("b", 1, 10)], [("a", 0.5, 1), ("b", 0.5, 4)], 1_024)
+    assert [r["quota"] for r in tiny] == [None, 4] and tiny[0]["slots"] == 10
+
+
+def test_no_block_is_used_too_often(spark):
+    """Sources that could just reach their share run over by chance in one of two draws: then they are set to all they have."""
+    sizes, targets = [("a", 1, 500_000), ("b", 1, 501_000), ("c", 1, 9_000_000)], [("a", 0.05, 1), ("b", 0.05, 1), ("c", 0.9, 1)]
+    fixed = 0
+    for seed in range(6):
+        planned = within_capacity(spark, sizes, targets, 1_000, None, seed, per_shard=200)
+        fixed += sum(r["quota"] is not None for r in planned)
+        got = {r.source: (r.n, r.d, r.u) for r in draw_slots(spark, planned, seed, per_shard=200).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("block").alias("d"), F.max("use").alias("u")).collect()}
+        assert sum(n for n, _, _ in got.values()) == planned[0]["slots"] == 10_001
+        for r in planned:
+            n, d, u = got[r["source"]]
+            assert n == d <= r["blocks"] and u == 0 and (r["quota"] is None or n == r["quota"])
+    assert fixed
 
 
 def test_report_and_mix(spark, corpus):
@@ -77,7 +97,8 @@ def test_report_and_mix(spark, corpus):
     assert report["tiny"].short and report["tiny"].drawn_tokens > 0.95 * 2 * size["tiny"]
     rest = report["big"].reached_share + report["mid"].reached_share
     assert report["mid"].reached_share / rest == pytest.approx(4 / 7, abs=0.06)
-    mixed = mix(df, targets, block=16)
+    mixed, again = mix_with_report(df, targets, block=16)
+    assert rows(again) == rows(mix_report(df, targets, block=16))
     drawn = {r.source: (r.t, r.u) for r in mixed.groupBy("source").agg((F.sum(F.octet_length("tokens")) / 2).cast("long").alias("t"), F.max("use").alias("u")).collect()}
     assert {s: t for s, (t, _) in drawn.items()} == {s: r.drawn_tokens for s, r in report.items()}
     assert rows(mixed) == rows(mix(df, targets, block=16)) and rows(mixed) != rows(mix(df, targets, block=16, seed=1))

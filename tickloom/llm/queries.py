@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import tidy_symbol
 from tickloom.llm import text
 from tickloom.llm.leaks import find_leaks
-from tickloom.llm.mixing import mix, mix_report
+from tickloom.llm.mixing import mix, mix_report, mix_with_report
 from tickloom.llm.nearest import nearest_match
 from tickloom.llm.subjects import assign_subjects, fit_subjects
 from tickloom.sources.tables import read_table
@@ -58,6 +58,27 @@ def p7_mix(spark: SparkSession, directory: str) -> DataFrame:
     return mixed.select("shard", "position", "source", "block", "use", (F.octet_length("tokens") / 2).cast("long").alias("n_tokens"), F.xxhash64("tokens").alias("digest"))
 
 
+def p7_rules(spark: SparkSession, directory: str) -> DataFrame:
+    """What must hold of any mixture, per source: no block is used more often than allowed nor twice as the same use, a source that
+    is not exhausted gets its share within chance, report and mixture agree, a short source gives all it has."""
+    targets = read_table(spark, directory, "mix_targets")
+    blocks, report = mix_with_report(read_table(spark, directory, "documents"), targets)
+    per = blocks.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("use").alias("uses"), F.max("use").alias("last"), F.sum(F.octet_length("tokens") / 2).cast("long").alias("t"))
+    seen = per.groupBy("source").agg(F.max("n").alias("most"), F.max(F.col("n") - F.col("uses")).alias("again"), F.max("last").alias("last"), F.sum("t").alias("t"), F.sum("n").alias("n"))
+    slots = F.sum("drawn_blocks").over(Window.partitionBy())  # one row per target
+    left = F.sum(F.when(F.col("drawn_blocks") >= F.col("blocks") * F.col("max_uses"), F.col("drawn_blocks")).otherwise(0)).over(Window.partitionBy())
+    open_share = F.sum(F.when(F.col("drawn_blocks") < F.col("blocks") * F.col("max_uses"), F.col("target_share")).otherwise(0.0)).over(Window.partitionBy())
+    x = report.withColumns({"expected": (slots - left) * F.col("target_share") / open_share}).join(seen, "source", "left")
+    exhausted = F.col("drawn_blocks") >= F.col("blocks") * F.col("max_uses")
+    return x.select(
+        "source",
+        (F.coalesce("most", F.lit(0)) <= F.col("max_uses")).alias("uses_kept"), (F.coalesce("again", F.lit(0)) == 0).alias("uses_differ"), (F.coalesce("last", F.lit(-1)) < F.col("max_uses")).alias("uses_numbered"),
+        ((F.coalesce("t", F.lit(0)) == F.col("drawn_tokens")) & (F.coalesce("n", F.lit(0)) == F.col("drawn_blocks"))).alias("report_agrees"),
+        (exhausted | (F.abs(F.col("drawn_blocks") - F.col("expected")) <= 6 * F.sqrt(F.col("expected")) + 1)).alias("share_kept"),
+        (F.col("short") == (F.col("needed_tokens") > F.col("capacity_tokens"))).alias("short_is_right"), (~F.col("short") | (F.col("drawn_tokens") == F.col("capacity_tokens"))).alias("short_gives_all"),
+    )
+
+
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     documents = read_table(spark, directory, "documents")
     subjects = [r[0] for r in read_table(spark, directory, "subjects").select("subject").where("subject is not null").distinct().orderBy("subject").collect()]  # a fixed list
@@ -66,7 +87,7 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_offsets, p4_unmatched, p6_found, p6_quoted, p7_found, p7_report, p7_mix, p8_found)}
+    return {f.__name__: f for f in (p4_found, p4_offsets, p4_unmatched, p6_found, p6_quoted, p7_found, p7_report, p7_mix, p7_rules, p8_found)}
 
 
 def _plain_sql(column: str) -> str:
@@ -103,4 +124,5 @@ def oracle_sql() -> dict[str, str]:
         "p4_offsets": _P4.format("quote_id, tick_id, offset_us"),
         "p4_unmatched": f"select distinct quote_id from quotes where quote_id not in (select quote_id from ({_P4.format('quote_id')}))",
         "p6_quoted": _QUOTED,
+        "p7_rules": "select source, true as uses_kept, true as uses_differ, true as uses_numbered, true as report_agrees, true as share_kept, true as short_is_right, true as short_gives_all from mix_targets",
     }
