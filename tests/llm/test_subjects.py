@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tickloom.llm.subjects import _threshold, assign_subjects, best, features, fit_subjects
+from tickloom.llm.subjects import Sections, _threshold, assign_subjects, best, features, fit_subjects, thresholds
 
 SUBJECTS = ["law", "sea", "sport"]
 WORDS = {"law": "statute clause contract judge".split(), "sea": "vessel harbour anchor tide".split(), "sport": "goal referee league striker".split()}
@@ -49,7 +49,7 @@ def test_held_out_accuracy(spark, corpus):
 
 def test_features_against_plain_python():
     text = "Before.\r\n[1] <p>One two, ONE</p>\r\nPage 1 of 9 — 00X\r\ntwo\n\nHeadnote: never me.\n\n(2) Solo\n§ 3 12 34\n4. three-\nfold four"
-    f = features(pa.array(["nothing numbered", text, None, "", "1. x y"]))
+    f = features(pa.array(["nothing numbered", text, None, "", "1. x y"]), Sections(between=None))
     h = lambda w: zlib.crc32(w.encode())
     uni = lambda w: (h(w) ^ (h(w) >> 16)) & ((1 << 18) - 1)
 
@@ -62,6 +62,49 @@ def test_features_against_plain_python():
     assert got == bags and f.document.tolist() == [1, 1, 1, 1, 4]
 
 
+def test_texts_without_numbers_and_asides():
+    text = "First one.\n\nSecond two.\n  \nThird"
+    f = features(pa.array([text, "1. a\n\nb", "Headnote: only me", None]))
+    assert f.document.tolist() == [0, 0, 0, 1, 2]
+    told = features(pa.array([text, "1. a\nHeadnote: b c\n2. d", "Leitsatz: x\n\n1. y\nHeadnote: z"]), asides=True)
+    assert told.document.tolist() == [1, 2, 2] and np.diff(told.start).tolist() == [3, 1, 1]
+    own = Sections(paragraph=r"(?m)^## ", aside=r"(?m)^Abstract\b", between=None)
+    assert features(pa.array(["Abstract x\n## a b\n## c"]), own).document.tolist() == [0, 0]
+
+
+def test_thresholds_lean_on_all_subjects():
+    tops = np.array([[3.0, 1.0], [2.0, 9.0], [0.0, -4.0], [-1.0, -5.0]])
+    labels = np.array([[1, 0], [1, 1], [0, 0], [0, 0]])
+    pooled = _threshold(tops.ravel(), labels.ravel())
+    assert thresholds(tops, labels, 2.0).tolist() == pytest.approx([(2 * 1.0 + 2 * pooled) / 4, (5.0 + 2 * pooled) / 3])
+    assert thresholds(np.zeros((0, 2)), np.zeros((0, 2)), 1.0).tolist() == [0.0, 0.0]
+
+
+def test_headnotes_label_what_hands_did_not(spark):
+    """With few hand labels, headnotes of other documents teach words that no hand-labelled document has."""
+    r = random.Random(5)
+    words = {s: ["".join(r.choice("abcdefghiklmnoprstuw") for _ in range(7)) for _ in range(60)] for s in SUBJECTS}
+    docs, truth = [], {}
+    for i in range(1_500):
+        s = r.choice([*SUBJECTS, None])
+        told = [f"The witness spoke of the {a} and the {b} at length." for a, b in (r.sample(words[s], 2) for _ in range(3))] if s else []
+        parts = [*told, *["Nothing turns on the record before us."] * 3]
+        r.shuffle(parts)
+        head = f"Headnote: where a {r.choice(words[s][:12])} is late and a {r.choice(words[s][:12])} is not.\n" if s else ""
+        docs.append((i, head + "\n".join(f"{k + 1}. {p}" for k, p in enumerate(parts))))
+        truth[i] = s
+    df = spark.createDataFrame(docs, DOCS)
+    labels = spark.createDataFrame([(i, truth[i]) for i in range(45) if truth[i]], LABELS)
+
+    def recall(**options):
+        got = {(x.doc_id, x.subject) for x in assign_subjects(df, fit_subjects(df, labels, SUBJECTS, **options)).collect() if x.doc_id >= 45}
+        want = {(i, truth[i]) for i in range(45, 1_500) if truth[i]}
+        return len(got & want) / len(want), len(got & want) / max(1, len(got))
+
+    (with_notes, precise), (without, _) = recall(), recall(max_weak=0)
+    assert with_notes > 0.9 and precise > 0.9 and with_notes > without + 0.1, (with_notes, precise, without)
+
+
 def test_best_and_threshold():
     s = np.array([[1.0], [3.0], [2.0], [5.0]])
     assert best(s, np.array([0, 0, 0, 2]), 3, 2).ravel().tolist() == [2.0, -np.inf, -np.inf]
@@ -79,7 +122,7 @@ def test_edges(spark, corpus):
     dirty = spark.createDataFrame([*labels[:200], *labels[:50], (None, "law"), (3, None), (4, "unknown"), (10**9, "law")], LABELS)
     model = fit_subjects(df, dirty, SUBJECTS)
     body = "\n".join(f"{i}. The witness spoke of the vessel and the harbour at length." for i in range(1, 4))
-    odd = spark.createDataFrame([(1, body), (1, body), (2, None), (3, ""), (None, body), (4, body * 3_000), (5, "vessel harbour")], DOCS)
+    odd = spark.createDataFrame([(1, body), (1, body), (2, None), (3, ""), (None, body), (4, (body + "\n") * 3_000), (5, "vessel harbour")], DOCS)
     assert rows(assign_subjects(odd, model)) == [(1, "sea"), (1, "sea"), (4, "sea")]
     small = fit_subjects(df, dirty, SUBJECTS, max_documents=50)
     assert small.weights.any()

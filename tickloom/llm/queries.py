@@ -12,7 +12,7 @@ from tickloom.llm import text
 from tickloom.llm.leaks import find_leaks
 from tickloom.llm.mixing import mix, mix_report, mix_with_report
 from tickloom.llm.nearest import nearest_match
-from tickloom.llm.subjects import assign_subjects, fit_subjects
+from tickloom.llm.subjects import Sections, assign_subjects, fit_subjects
 from tickloom.sources.tables import read_table
 
 
@@ -82,7 +82,8 @@ def p7_rules(spark: SparkSession, directory: str) -> DataFrame:
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     documents = read_table(spark, directory, "documents")
     subjects = [r[0] for r in read_table(spark, directory, "subjects").select("subject").where("subject is not null").distinct().orderBy("subject").collect()]  # a fixed list
-    model = fit_subjects(documents, read_table(spark, directory, "doc_labels"), subjects)
+    numbered = Sections(between=None)  # only numbered paragraphs make a subject
+    model = fit_subjects(documents, read_table(spark, directory, "doc_labels"), subjects, sections=numbered)
     return assign_subjects(documents, model).distinct()
 
 

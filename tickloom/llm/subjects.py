@@ -1,16 +1,17 @@
-"""Subjects of documents: one-versus-rest linear classifiers over hashed word n-grams of numbered paragraphs.
-
-Labels say which subjects a document has, not which paragraphs make them so; a paragraph starts with its document's labels as weak
-labels. After each fit a paragraph keeps a label only if its own score supports it, except that the best ``needed`` paragraphs of a
-labelled document always keep theirs, and the classifiers are fitted again. Headnotes and text outside numbered paragraphs never
-enter. A document has a subject if its ``needed``-th best paragraph reaches the subject's threshold, which is calibrated on documents
-held out from the fit.
+"""Subjects of documents: one-versus-rest linear classifiers over hashed word n-grams of paragraphs.
+
+Weak labels come from section metadata: a classifier of headnotes, fitted against the hand labels, labels documents that have none.
+Labels say which subjects a document has, not which paragraphs make them so; a paragraph starts with its document's labels. After
+each fit a paragraph keeps a label only if its own score supports it, except that the best ``needed`` paragraphs of a labelled
+document always keep theirs, and the classifiers are fitted again. Headnotes are no paragraphs: they never make a subject. A
+document has a subject if its ``needed``-th best paragraph reaches the subject's threshold, which is calibrated, for the weights that
+are used, on hand-labelled documents held out from all fits.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import col, require
-from tickloom.llm.text import NUMBER, sub, without_pages
+from tickloom.llm.text import NUMBER, slices, sub, without_pages
 from tickloom.sources.ship import ship
 from tickloom.sources.tables import stored
 
@@ -28,7 +29,19 @@ BITS = 18
 NEEDED = 2
 _MASK = (1 << BITS) - 1
 # Fixed value: opening of a headnote, in the corpus's languages.
-_HEADNOTE = r"(?m)^[ \t]*(?:<p>)?[ \t]*(?:Headnote|Leitsatz)\b"
+HEADNOTE = r"(?m)^[ \t]*(?:<p>)?[ \t]*(?:Headnote|Leitsatz)\b"
+
+
+@dataclass(frozen=True)
+class Sections:
+    """How texts fall into sections, as RE2 patterns: ``paragraph`` and ``aside`` match the openings of paragraphs and of sections that
+    only tell of the document. ``between`` separates the paragraphs of a text without any opening; None: such a text has none.
+    ``clean`` takes out what stands in the midst of sections."""
+
+    paragraph: str = NUMBER
+    aside: str = HEADNOTE
+    between: str | None = r"\n[ \t]*\n"
+    clean: Callable[[pa.Array], pa.Array] = without_pages
 
 
 @dataclass
@@ -49,10 +62,14 @@ def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (table[codes] if len(table) else np.empty(0, dtype="uint32")), codes
 
 
-def features(texts: pa.Array) -> Features:
-    """Numbered paragraphs of each text. A text without any has no rows; null and empty texts neither."""
-    t = sub(without_pages(texts), NUMBER, "\x01\x03")
-    t = sub(t, _HEADNOTE, "\x01\x02")
+def features(texts: pa.Array, sections: Sections = Sections(), *, asides: bool = False) -> Features:
+    """Paragraphs of each text, or its asides. Null and empty texts have none."""
+    t = sub(sections.clean(texts), sections.paragraph, "\x01\x03")
+    t = sub(t, sections.aside, "\x01\x02")
+    if sections.between is not None and not asides:
+        bare = pc.invert(pc.fill_null(pc.match_substring(t, "\x01\x03"), True))
+        if pc.any(bare).as_py():
+            t = pc.if_else(bare, sub(pc.binary_join_element_wise("\x01\x03", t, ""), sections.between, "\x01\x03"), t)
     t = sub(t, r"&(?:nbsp|#160);|<[^<>\n]{1,40}>", " ")
     t = sub(t, r"[-‐‑\x{AD}]\s*\n\s*", "")
     parts = pc.split_pattern(t, "\x01")
@@ -60,8 +77,8 @@ def features(texts: pa.Array) -> Features:
         parts = parts.combine_chunks()
     owner = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
     flat = parts.flatten()
-    numbered = pc.starts_with(flat, "\x03")
-    owner, flat = owner[numbered.to_numpy(zero_copy_only=False)], flat.filter(numbered)
+    wanted = pc.starts_with(flat, "\x02" if asides else "\x03")
+    owner, flat = owner[wanted.to_numpy(zero_copy_only=False)], flat.filter(wanted)
     plain = pc.utf8_trim_whitespace(sub(pc.utf8_lower(flat), r"[^\p{L}]+", " "))
     lists = pc.split_pattern(plain, " ")
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype("int64")
@@ -98,6 +115,7 @@ class Model:
     bias: np.ndarray
     thresholds: np.ndarray
     needed: int = NEEDED
+    sections: Sections = Sections()
 
     def scores(self, f: Features) -> np.ndarray:
         out = np.empty((len(f.document), len(self.subjects)))
@@ -130,11 +148,11 @@ def best(scores: np.ndarray, document: np.ndarray, n: int, needed: int) -> np.nd
     return out
 
 
-def _fit(f: Features, targets: np.ndarray, rounds: int, l2: float, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regressions of all subjects at once by full-batch Adagrad over the features that the sample has at least twice."""
+def _fit(f: Features, target: np.ndarray, rounds: int, l2: float, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression by full-batch Adagrad over the features that the sample has at least twice: features, weights, bias."""
     count = np.bincount(f.index, minlength=1 << BITS)
     used = np.flatnonzero(count >= 2)
-    place = np.zeros(1 << BITS, dtype="int64")
+    place = np.zeros(1 << BITS, dtype="int32")
     place[used] = np.arange(len(used))
     often = count[f.index] >= 2
     start = np.concatenate([[0], np.cumsum(often)])[f.start]
@@ -142,61 +160,72 @@ def _fit(f: Features, targets: np.ndarray, rounds: int, l2: float, rate: float =
     size, scale = np.diff(start), _scale(f)
     has = size > 0
     heads = start[:-1][has]
-    n, k = targets.shape
-    w = np.zeros((k, len(used)), dtype="float32")
-    b = np.log((targets.mean(axis=0) + 1e-4) / (1 - targets.mean(axis=0) + 1e-4))
+    w = np.zeros(len(used), dtype="float32")
+    share = float(target.mean()) if len(target) else 0.0
+    b = float(np.log((share + 1e-4) / (1 - share + 1e-4)))
     g2 = np.full_like(w, 1e-6)
-    for _ in range(rounds):
-        for j in range(k):
-            z = np.zeros(n)
-            if len(heads):
-                z[has] = np.add.reduceat(w[j].take(index), heads)
-            error = 1 / (1 + np.exp(-np.clip(z / scale + b[j], -30, 30))) - targets[:, j]
-            g = np.bincount(index, weights=np.repeat(error / scale, size), minlength=len(used)) + l2 * w[j]
-            g2[j] += g * g
-            w[j] -= rate * g / np.sqrt(g2[j])
-            b[j] -= 4 * error.mean()
-    full = np.zeros((1 << BITS, k), dtype="float32")
-    full[used] = w.T
-    return full, b
-
-
-def train(f: Features, labels: np.ndarray, subjects: list[str], *, needed: int = NEEDED, unlabelled: Features | None = None, refits: int = 2, rounds: int = 15, l2: float = 0.1, held_out: float = 0.25, seed: int = 7) -> Model:
-    """Classifiers from paragraph features and document labels (documents x subjects, 0 or 1). Documents without labels take part
-    in the last fit with the labels that the fits before give them."""
-    n = len(labels)
-    held = np.random.default_rng(seed).random(n) < held_out if n >= 40 else np.zeros(n, dtype=bool)
-    fit_rows = ~held[f.document]
-    part = _take(f, fit_rows)
-    weak = labels[part.document].astype(float)
-    targets = weak
-    model = Model(subjects, np.zeros((1, len(subjects)), dtype="float32"), np.zeros(len(subjects)), np.zeros(len(subjects)), needed)
+    z = np.zeros(len(target))
+    for _ in range(rounds if len(target) else 0):
+        if len(heads):
+            z[has] = np.add.reduceat(w.take(index), heads)
+        error = 1 / (1 + np.exp(-np.clip(z / scale + b, -30, 30))) - target
+        g = np.bincount(index, weights=np.repeat((error / scale).astype("float32"), size), minlength=len(used)) + l2 * w
+        g2 += g * g
+        w -= rate * g / np.sqrt(g2)
+        b -= 4 * float(error.mean())
+    return used, w, b
+
+
+def _scores(f: Features, used: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    full = np.zeros(1 << BITS, dtype="float32")
+    full[used] = w
+    return _row_sums(full[f.index], f.start) / _scale(f) + b
+
+
+def _kth(scores: np.ndarray, document: np.ndarray, n: int, needed: int) -> np.ndarray:
+    return best(scores[:, None], document, n, needed)[:, 0]
+
+
+def train_one(f: Features, asides: Features, label: np.ndarray, weak: np.ndarray, held: np.ndarray, *, needed: int = NEEDED, refits: int = 2, turns: int = 3, rounds: int = 20, l2: float = 0.01, aside_l2: float = 0.1, likely: float = 0.4) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """The classifier of one subject: features, weights, bias, and the scores of the held-out documents.
+
+    ``label`` (0 or 1) is by document. The first fits take hand-labelled documents only. Then, for some turns, the documents in
+    ``weak`` have the subject if their aside tells it, by a classifier fitted against the hand labels and in later turns also
+    against what paragraphs show, or if their own paragraphs show it; the paragraphs of all documents but the held-out ones are
+    fitted against these labels. Single paragraphs that may treat the subject in documents without it are left to no side."""
+    n = len(label)
+    marked = label.astype(bool)
+    by_hand = ~(held | weak)
+
+    def kept(rows: np.ndarray, score: np.ndarray, y: np.ndarray) -> np.ndarray:
+        part = f.document[rows]
+        return (y[part] & (score >= np.minimum(0.0, _kth(score, part, n, needed)[part]))).astype(float)
+
+    def shown(score: np.ndarray) -> np.ndarray:
+        top = _kth(score, f.document, n, needed)
+        return np.where(weak, top >= max(_threshold(top[by_hand], label[by_hand]), -0.5), marked)
+
+    rows = by_hand[f.document]
+    part = _take(f, rows)
+    target = marked[part.document].astype(float)
     for turn in range(refits + 1):
-        model.weights, model.bias = _fit(part, targets, rounds, l2)
+        used, w, b = _fit(part, target, rounds, l2)
         if turn < refits:
-            s = model.scores(part)
-            keep = s >= np.minimum(0.0, best(s, part.document, n, needed)[part.document])
-            targets = weak * keep
-    judged = _take(f, held[f.document]) if held.any() else part
-    docs = np.flatnonzero(held) if held.any() else np.arange(n)
-    top = best(model.scores(judged), judged.document, n, needed)[docs]
-    # A subject with few held-out documents of its own takes the threshold that suits all subjects together.
-    pooled = _threshold(top.ravel(), labels[docs].ravel())
-    model.thresholds = np.array([_threshold(top[:, j], labels[docs, j]) if labels[docs, j].sum() >= 10 else pooled for j in range(len(subjects))])
-    # The last fit takes all documents, their paragraphs labelled by the fits before; so are documents without labels.
-    def supported(x: Features, y: np.ndarray) -> np.ndarray:
-        score = model.scores(x)
-        return y[x.document] * (score >= np.minimum(0.0, best(score, x.document, len(y), needed)[x.document]))
-
-    extra = 0 if unlabelled is None or not len(unlabelled.document) else int(unlabelled.document.max()) + 1
-    whole = f
-    if extra:
-        whole = Features(np.concatenate([f.index, unlabelled.index]), np.concatenate([f.start, unlabelled.start[1:] + f.start[-1]]), np.concatenate([f.document, unlabelled.document + n]))
-    targets = supported(f, labels)
-    if extra:
-        targets = np.concatenate([targets, supported(unlabelled, model.assign(unlabelled, extra).astype("int8"))])
-    model.weights, model.bias = _fit(whole, targets, rounds, l2)
-    return model
+            target = kept(rows, _scores(part, used, w, b), marked)
+    telling = _take(asides, by_hand[asides.document])
+    tells = marked[telling.document].astype(float)
+    for _ in range(turns if weak.any() else 0):
+        told = np.zeros(n, dtype=bool)
+        told[asides.document[_scores(asides, *_fit(telling, tells, 30, aside_l2)) >= np.log(likely / (1 - likely))]] = True
+        score = _scores(f, used, w, b)
+        y = np.where(weak, told | shown(score), marked)
+        rows = ~held[f.document] & ~(weak[f.document] & ~y[f.document] & (score > 0))
+        used, w, b = _fit(_take(f, rows), kept(rows, score[rows], y), rounds, l2)
+        telling = _take(asides, ~held[asides.document])
+        tells = shown(_scores(f, used, w, b))[telling.document].astype(float)
+    judged = _take(f, held[f.document])
+    top = _kth(_scores(judged, used, w, b), judged.document, n, needed)[held]
+    return used, w, b, top
 
 
 def _take(f: Features, rows: np.ndarray) -> Features:
@@ -218,36 +247,104 @@ def _threshold(score: np.ndarray, label: np.ndarray) -> float:
     return float((s[order[at]] + lower) / 2)
 
 
-def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str], *, id_column: str = "doc_id", text: str = "text", label: str = "subject", max_documents: int = 10_000, max_unlabelled: int = 5_000, max_chars: int = 100_000_000, **options: object) -> Model:
-    """Fit on a bounded sample, which is all that the driver ever gets: at most ``max_documents`` labelled and ``max_unlabelled``
-    other documents, those with the smallest hashes of their ids, and of these, in that order, as many whole ones as have
-    ``max_chars`` characters together. The others get weak labels from the fits on the labelled ones. Labels not in ``subjects``
-    are passed over."""
-    require(documents, id_column, text)
-    require(labels, id_column, label)
-    known = labels.where(col(label).isin(subjects) & col(id_column).isNotNull()).groupBy(col(id_column).cast("long").alias("__id")).agg(F.collect_set(col(label)).alias("__labels"))
-    hashed = lambda df, most: df.withColumn("__h", F.xxhash64("__id")).orderBy("__h", "__id").limit(most)
-    others = documents.where(col(id_column).isNotNull()).select(col(id_column).cast("long").alias("__id")).join(known.select("__id"), "__id", "left_anti").distinct()
-    sample = hashed(known, max_documents).unionByName(hashed(others.withColumn("__labels", F.array().cast("array<string>")), max_unlabelled))
-    texts = documents.where(F.length(col(text)) > 0).select(col(id_column).cast("long").alias("__id"), col(text).alias("__text"))
-    found = stored(texts.join(F.broadcast(sample), "__id").groupBy("__id", "__h", "__labels").agg(F.max("__text").alias("__text")), "labelled")
+def thresholds(tops: np.ndarray, labels: np.ndarray, prior: float) -> np.ndarray:
+    """Per subject the threshold with the best F1 on the held-out documents (documents x subjects), drawn towards that of all subjects
+    together as if ``prior`` labels spoke for it; 0 without any label."""
+    pooled = _threshold(tops.ravel(), labels.ravel())
+    n = labels.sum(axis=0)
+    own = np.array([_threshold(tops[:, j], labels[:, j]) for j in range(labels.shape[1])])
+    return (n * own + prior * pooled) / (n + prior)
+
+
+def _collected(rows: DataFrame, sections: Sections, asides: bool) -> tuple[pa.Table, Features]:
+    """(id, labels) and the features of a bounded sample (__id, __text, __labels), which executors extract."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "__text", 500):
+                f = features(part.column("__text"), sections, asides=asides)
+                bounds = np.searchsorted(f.document, np.arange(part.num_rows + 1))
+                cut = lambda i: (f.start[bounds[i] : bounds[i + 1] + 1], f.index[f.start[bounds[i]] : f.start[bounds[i + 1]]])  # noqa: E731, B023
+                sizes = pa.array([np.diff(cut(i)[0]).astype("<i8").tobytes() for i in range(part.num_rows)], type=pa.binary())
+                index = pa.array([cut(i)[1].astype("<i4").tobytes() for i in range(part.num_rows)], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__labels"), sizes, index], names=["id", "labels", "sizes", "index"])
+
+    t = rows.select("__id", "__text", "__labels").mapInArrow(run, "id long, labels array<string>, sizes binary, index binary").toArrow().sort_by("id")
+    sizes = [np.frombuffer(x, dtype="<i8") for x in t["sizes"].to_pylist()]
+    flat = np.concatenate([np.empty(0, dtype="<i8"), *sizes])
+    index = np.frombuffer(b"".join(t["index"].to_pylist()), dtype="<i4")
+    return t.select(["id", "labels"]), Features(index, np.concatenate([[0], np.cumsum(flat)]).astype("int64"), np.repeat(np.arange(len(sizes)), [len(x) for x in sizes]))
+
+
+def _marks(labels: list, subjects: list[str]) -> np.ndarray:
+    no = {s: j for j, s in enumerate(subjects)}
+    out = np.zeros((len(labels), len(subjects)), dtype="int8")
+    for i, names in enumerate(labels):
+        out[i, [no[x] for x in names]] = 1
+    return out
+
+
+def _within(found: DataFrame, max_chars: int) -> DataFrame:
+    """Of a bounded sample, in the order of hashes, as many whole documents as have ``max_chars`` characters together."""
     upto, last = 0, None
     for h, i, n in found.select("__h", "__id", F.length("__text")).orderBy("__h", "__id").collect():  # the sample
         upto += n
         if upto > max_chars:
             break
         last = (h, i)
-    kept = found.where("false") if last is None else found.where((F.col("__h") < last[0]) | ((F.col("__h") == last[0]) & (F.col("__id") <= last[1])))
-    rows = kept.select("__id", "__text", "__labels").toArrow().sort_by("__id")
-    marked = np.array([bool(x) for x in rows["__labels"].to_pylist()], dtype=bool)
-    no = {s: j for j, s in enumerate(subjects)}
-    y = np.zeros((int(marked.sum()), len(subjects)), dtype="int8")
-    for i, names in enumerate(x for x in rows["__labels"].to_pylist() if x):
-        y[i, [no[x] for x in names]] = 1
-    bags = [features(rows["__text"].combine_chunks().filter(pa.array(m))) if m.any() else Features(np.empty(0, dtype="int32"), np.zeros(1, dtype="int64"), np.empty(0, dtype="int64")) for m in (marked, ~marked)]
-    if not len(bags[0].document):
-        return Model(subjects, np.zeros((1 << BITS, len(subjects)), dtype="float32"), np.zeros(len(subjects)), np.full(len(subjects), np.inf))
-    return train(bags[0], y, subjects, unlabelled=bags[1], **options)
+    return found.where("false") if last is None else found.where((F.col("__h") < last[0]) | ((F.col("__h") == last[0]) & (F.col("__id") <= last[1])))
+
+
+def _joined(a: Features, b: Features, n: int) -> Features:
+    """The features of ``n`` documents and of others after them."""
+    return Features(np.concatenate([a.index, b.index]), np.concatenate([a.start, b.start[1:] + a.start[-1]]), np.concatenate([a.document, b.document + n]))
+
+
+def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str], *, id_column: str = "doc_id", text: str = "text", label: str = "subject", sections: Sections = Sections(), max_documents: int = 10_000, max_weak: int = 4_000, max_chars: int = 100_000_000, held_out: float = 0.25, prior: float = 10.0, seed: int = 7, **options: object) -> Model:
+    """Fit on bounded samples: at most ``max_documents`` hand-labelled documents and ``max_weak`` others, which get weak labels from
+    their asides and paragraphs; of either those with the smallest hashes of their ids, and of these, in that order, as many whole
+    ones as have ``max_chars`` characters together. Executors extract the features, and each subject is fitted by a task of its own.
+
+    The share ``held_out`` of the hand-labelled documents, at any size, sets the thresholds and never enters a fit. ``prior`` is how
+    many held-out labels of a subject weigh as much as the threshold of all subjects together. Labels not in ``subjects`` are passed
+    over; null ids and texts are left out; of repeated ids the largest text counts; without labelled documents the model assigns
+    nothing. ``options`` go to :func:`train_one`. All jobs run when the function is called.
+    """
+    require(documents, id_column, text)
+    require(labels, id_column, label)
+    spark = documents.sparkSession
+    ship(spark)
+    known = labels.where(col(label).isin(subjects) & col(id_column).isNotNull()).groupBy(col(id_column).cast("long").alias("__id")).agg(F.collect_set(col(label)).alias("__labels"))
+    texts = documents.where((F.length(col(text)) > 0) & col(id_column).isNotNull()).select(col(id_column).cast("long").alias("__id"), col(text).alias("__text"))
+    hashed = lambda df, most: df.withColumn("__h", F.xxhash64("__id")).orderBy("__h", "__id").limit(most)
+    others = texts.select("__id").join(known.select("__id"), "__id", "left_anti").distinct().withColumn("__labels", F.array().cast("array<string>"))
+    sample = hashed(known.join(texts.select("__id").distinct(), "__id", "left_semi"), max_documents).unionByName(hashed(others, max_weak))
+    found = stored(texts.join(F.broadcast(sample), "__id").groupBy("__id", "__h", "__labels").agg(F.max("__text").alias("__text")), "sample")  # at most max_documents + max_weak rows are broadcast
+    hand, other = (_within(found.where(c), max_chars) for c in ("size(__labels) > 0", "size(__labels) = 0"))
+    named, bags = _collected(hand, sections, False)
+    if not len(bags.document):
+        return Model(subjects, np.zeros((1 << BITS, len(subjects)), dtype="float32"), np.zeros(len(subjects)), np.full(len(subjects), np.inf), sections=sections)
+    unnamed, more = _collected(other, sections, False)
+    n = len(named)
+    y = np.concatenate([_marks(named["labels"].to_pylist(), subjects), np.zeros((len(unnamed), len(subjects)), dtype="int8")])
+    weak = np.arange(len(y)) >= n
+    held = ~weak & (np.random.default_rng(seed).random(len(y)) < held_out)
+    asides = _joined(_collected(hand, sections, True)[1], _collected(other, sections, True)[1], n)
+    sent = spark.sparkContext.broadcast((_joined(bags, more, n), asides, y, weak, held))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j in batch.column("id").to_pylist():
+                f, told, marks, others, out = sent.value
+                used, w, b, top = train_one(f, told, marks[:, j], others, out, **options)
+                yield pa.RecordBatch.from_arrays([pa.array([j]), pa.array([used.astype("<i4").tobytes()]), pa.array([w.astype("<f4").tobytes()]), pa.array([float(b)]), pa.array([top.astype("<f8").tobytes()])], names=["j", "used", "w", "b", "top"])
+
+    weights, bias = np.zeros((1 << BITS, len(subjects)), dtype="float32"), np.zeros(len(subjects))
+    tops = np.zeros((int(held.sum()), len(subjects)))
+    for r in spark.range(0, len(subjects), 1, len(subjects)).mapInArrow(fit, "j long, used binary, w binary, b double, top binary").collect():  # one per subject
+        weights[np.frombuffer(r.used, dtype="<i4"), r.j] = np.frombuffer(r.w, dtype="<f4")
+        bias[r.j], tops[:, r.j] = r.b, np.frombuffer(r.top, dtype="<f8")
+    return Model(subjects, weights, bias, thresholds(tops, y[held], prior), options.get("needed", NEEDED), sections)
 
 
 def assign_subjects(documents: DataFrame, model: Model, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,10 +357,9 @@ def assign_subjects(documents: DataFrame, model: Model, *, id_column: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices(batch, "text", 500):
                 m = shared.value
-                doc, subject = np.nonzero(m.assign(features(part.column("text")), part.num_rows))
+                doc, subject = np.nonzero(m.assign(features(part.column("text"), m.sections), part.num_rows))
                 if len(doc):
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(np.array(m.subjects, dtype=object)[subject], type=pa.string())], names=["doc_id", "subject"])
 
