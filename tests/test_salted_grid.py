@@ -147,3 +147,11 @@ def test_grid_against_brute_force(spark):
             want[k, t] = t in slots
             t += dt.timedelta(minutes=30)
     assert {k: v == "observed" for k, v in got.items()} == want
+
+
+def test_long_gaps_are_cut(spark):
+    """A gap of many stretches comes out slot by slot, none twice."""
+    df = spark.createDataFrame([("a", s(0), 1.0, 0), ("a", s(20_000), 2.0, 0)], GRID)
+    out = regular_grid(df, ["k"], "t", "v", "1s", max_fill=20_000)
+    assert out.count() == out.select("slot_start").distinct().count() == 20_001
+    assert out.where(F.abs(F.col("value") - 1 - (F.unix_timestamp(F.col("slot_start").cast("timestamp")) - s(0).replace(tzinfo=dt.timezone.utc).timestamp()) / 20_000) > 1e-9).count() == 0

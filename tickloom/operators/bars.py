@@ -20,7 +20,7 @@ from pyspark.sql.types import DecimalType, DoubleType, LongType, StructField, St
 from tickloom.config import column_names
 from tickloom.functions.columns import INTEGRAL, NUMERIC, col, fresh, require, require_type
 from tickloom.functions.durations import DAY_US, bucket_start, parse_duration, to_micros
-from tickloom.operators.blocks import running_totals, solid, time_bucket
+from tickloom.operators.blocks import bucket_width, running_totals, solid, time_bucket
 from tickloom.sources.ship import ship
 
 _ORDER = "__order"
@@ -72,7 +72,7 @@ def _running(trades: DataFrame, split_by_date: bool, amount: Column) -> DataFram
     """Trades with the running total ``__hi`` of amount per symbol[, day] and the keys __key, __day that are never null."""
     us = to_micros(F.col("__t"))
     day = time_bucket(us, DAY_US) if split_by_date else F.lit(0).cast("long")
-    keyed = trades.withColumns({"__key": solid(F.col("__sym")), "__day": day, "__hour": time_bucket(us)})
+    keyed = trades.withColumns({"__key": solid(F.col("__sym")), "__day": day, "__hour": time_bucket(us, bucket_width(trades))})
     return running_totals(keyed, ["__key", "__day"], "__hour", _ORDER, amount, "__hi")
 
 
@@ -290,7 +290,7 @@ def bar_groups(df: DataFrame, measure: str, bar_size: float, *, allow_splits: bo
     key = F.concat_ws("\x1f", *(solid(col(c)) for c in partition_by)) if partition_by else F.lit("")
     rows = df.withColumns({k: key, o: F.struct(*(col(c) for c in order_by)), v: value})
     if allow_splits and dtype.startswith("int") and isinstance(df.schema[order_by[0]].dataType, (TimestampNTZType, TimestampType)):
-        rows = rows.where(F.col(v) > 0).withColumns({h: time_bucket(to_micros(col(order_by[0]))), v: F.col(v).cast("long")})
+        rows = rows.where(F.col(v) > 0).withColumns({h: time_bucket(to_micros(col(order_by[0])), bucket_width(df)), v: F.col(v).cast("long")})
         total = running_totals(rows, [k], h, o, F.col(v), hi)
         out = _split(total, F.col(hi), F.col(v), int(bar_size), "bar_group__id", "bar_group__amount")
         return out.select(*(col(c) for c in df.columns), "bar_group__id", F.col("bar_group__amount").cast(kind).alias("bar_group__amount"))

@@ -18,8 +18,10 @@ from pyspark.sql.window import WindowSpec
 from tickloom.functions.columns import col, fresh, require
 from tickloom.functions.durations import DAY_US, to_micros
 from tickloom.operators.sharding import ordered_shards, tables_of
+from tickloom.sources.tables import input_bytes
 
 HOUR_US = 3_600_000_000
+_TOTALS = 4_096
 _NEVER = -(2**62)
 
 
@@ -34,20 +36,31 @@ def time_bucket(us: Column, width: int = HOUR_US) -> Column:
     return F.coalesce(((us - F.pmod(us, F.lit(width))) / F.lit(width)).cast("long"), F.lit(_NEVER))
 
 
+def bucket_width(df: DataFrame) -> int:
+    """Microseconds of a time bucket of running totals: an hour, halved for each doubling of the input beyond 16 GB down to a second,
+    so that a busy key's bucket stays a task's work."""
+    halvings = max(0, (input_bytes(df) >> 34).bit_length())
+    return max(1_000_000, HOUR_US >> halvings)
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], bucket: str, order: str, amount: Column, out: str, over: Sequence[str] | None = None) -> DataFrame:
     """Running total of an integral ``amount`` per ``over`` (the keys unless given) up to and with each row.
 
     Rows are summed in order within (keys, bucket); the totals of earlier buckets, one row per key and bucket, are added by a join
-    on the same columns. Buckets must rise with the order, keys and buckets must not be null.
+    on the same columns. These totals are themselves summed within ``_TOTALS`` buckets first, so that no task sums a key's whole
+    history. Buckets must rise with the order, keys and buckets must not be null.
     """
     over = list(over if over is not None else keys)
     at = [*keys, bucket]
-    own, inner, total, before = (fresh(n, df.columns) for n in ("__amount", "__inner", "__total", "__before"))
+    own, inner, total, before, coarse, earlier = (fresh(n, df.columns) for n in ("__amount", "__inner", "__total", "__before", "__coarse", "__earlier"))
     rows = df.withColumn(own, amount)
     partial = F.sum(own).over(Window.partitionBy(*at).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    totals = rows.groupBy(*at).agg(F.sum(own).alias(total))
-    earlier = F.sum(total).over(Window.partitionBy(*over).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select(*at, F.coalesce(earlier, F.lit(0)).alias(before))
+    totals = rows.groupBy(*at).agg(F.sum(own).alias(total)).withColumn(coarse, F.floor(F.col(bucket) / F.lit(_TOTALS)))
+    ahead = lambda x, by, order: F.coalesce(F.sum(x).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = totals.groupBy(*dict.fromkeys([*over, *keys]), coarse).agg(F.sum(total).alias(total))
+    groups = groups.select(*(F.col(k) for k in dict.fromkeys([*over, *keys])), coarse, ahead(total, over, coarse).alias(earlier))
+    totals = totals.withColumn(before, ahead(total, [*over, coarse], bucket)).join(groups, [*dict.fromkeys([*over, *keys]), coarse])
+    totals = totals.select(*at, (F.col(before) + F.col(earlier)).alias(before))
     return rows.withColumn(inner, partial).join(totals, at).withColumn(out, F.col(inner) + F.col(before)).drop(own, inner, before)
 
 
@@ -63,7 +76,7 @@ def over_blocks(df: DataFrame, compute: Callable[[WindowSpec], Column], out: str
     size = max(block, 4 * (before + after))
     k, h, o, rn, b = (fresh(n, df.columns) for n in ("__key", "__hour", "__order", "__rn", "__block"))
     key = F.concat_ws("\x1f", *(solid(col(c)) for c in partition_by)) if partition_by else F.lit("")
-    rows = df.withColumns({k: key, h: time_bucket(to_micros(col(time))), o: F.struct(*(col(c) for c in order_by))})
+    rows = df.withColumns({k: key, h: time_bucket(to_micros(col(time)), bucket_width(df)), o: F.struct(*(col(c) for c in order_by))})
     numbered = running_totals(rows, [k], h, o, F.lit(1).cast("long"), rn)
     pos, home = F.pmod(F.col(rn) - 1, F.lit(size)), ((F.col(rn) - 1 - F.pmod(F.col(rn) - 1, F.lit(size))) / size).cast("long")
     places = F.array_compact(F.array(home, F.when(pos >= size - before, home + 1) if before else F.lit(None).cast("long"), F.when(pos < after, home - 1) if after else F.lit(None).cast("long")))

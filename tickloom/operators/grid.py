@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tickloom.functions.columns import col, require
 from tickloom.functions.durations import DAY_US, floor_to, from_micros, parse_duration, to_micros
 
+_STRETCH = 4_096
+
 
 def regular_grid(df: DataFrame, keys: Sequence[str], time: str, value: str, step: str | dt.timedelta, *, max_fill: int = 4, per_day: bool = False, bounds: tuple[dt.datetime, dt.datetime] | str | None = None) -> DataFrame:
     """One row per key and grid slot ``[start, start + step)`` from the first to the last slot with a reading.
@@ -57,7 +59,10 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time: str, value: str, step
         low, high = floor_to(lo_us, width, origin), floor_to(hi_us, width, origin)
     begin = F.when(F.col("__head"), F.least(low, slot)).otherwise(slot)
     end = F.when(following.isNull(), F.greatest(high, slot)).otherwise(following - F.lit(width))
-    grid = paired.withColumn("__g", F.explode(F.sequence(begin, end, F.lit(width).cast("long"))))
+    # A long gap is cut before its slots are listed, so no row holds more than _STRETCH of them.
+    stretch = F.lit(width * _STRETCH).cast("long")
+    cut = paired.withColumn("__end", end).withColumn("__c", F.explode(F.sequence(begin, F.col("__end"), stretch)))
+    grid = cut.withColumn("__g", F.explode(F.sequence(F.col("__c"), F.least(F.col("__c") + stretch - F.lit(width), F.col("__end")), F.lit(width).cast("long"))))
     g, last, after = F.col("__g"), F.col("__last"), F.col("__after")
     missing = (following - slot) / F.lit(width) - 1
     status = F.when(g == slot, "observed").when(g < slot, "leading").when(following.isNull(), "trailing").when(missing <= max_fill, "interpolated").otherwise("gap")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from tickloom.config import column_names
-from tickloom.functions.columns import col, parse_into_expr
+from tickloom.functions.columns import col, fresh, parse_into_expr
 from tickloom.functions.ordering import ordered
 from tickloom.operators.blocks import over_blocks
 
@@ -40,8 +40,16 @@ def fixed_time_return_classification(prices: str | Column, window: int, threshol
 
 
 def add_fixed_time_return(df: DataFrame, prices: str, window: int, offset: int = 1, *, symbol: str | None = None, out: str = "fixed_time_return", time: str | None = None, tie_breakers: Sequence[str] = (), block: int = 100_000) -> DataFrame:
-    """The frame with :func:`fixed_time_return`, computed over blocks: a symbol that holds most rows is spread out. Labels follow
-    from ``out`` by :func:`classify_by_threshold`."""
+    """The frame with :func:`fixed_time_return`, computed over blocks: a symbol that holds most rows is spread out. Labels:
+    :func:`add_fixed_time_return_classification`."""
     time = time or column_names.timestamp
     reach = [offset, offset + window, 0]
     return over_blocks(df, lambda w: _ahead(col(prices), window, offset, w), out, partition_by=[] if symbol is None else [symbol], order_by=[time, *tie_breakers], time=time, before=max(0, -min(reach)), after=max(reach), block=block)
+
+
+def add_fixed_time_return_classification(df: DataFrame, prices: str, window: int, threshold: float | str | Column | None = None, offset: int = 1, *, symbol: str | None = None, out: str = "label", time: str | None = None, tie_breakers: Sequence[str] = (), block: int = 100_000) -> DataFrame:
+    """The frame with :func:`fixed_time_return_classification`, computed over blocks: a symbol that holds most rows, or all rows where
+    there is no symbol, are spread out. A column threshold is a column of the frame."""
+    ret = fresh("__return", df.columns)
+    done = add_fixed_time_return(df, prices, window, offset, symbol=symbol, out=ret, time=time, tie_breakers=tie_breakers, block=block)
+    return done.withColumn(out, classify_by_threshold(F.col(ret), threshold)).drop(ret)

@@ -11,6 +11,7 @@ from tickloom.config import Config
 from tickloom.functions.columns import parse_into_expr
 from tickloom.operators import bars, dynamic_labels, frac_diff, labels
 from tickloom.sources.tables import read_table
+from tickloom.streaming.time_bars import streaming_time_bars
 
 _NAMES = {"timestamp_column": "ts_event"}
 
@@ -64,13 +65,29 @@ def _fixed_return(spark: SparkSession, directory: str) -> DataFrame:
 
 def _classify(threshold: object) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, directory: str) -> DataFrame:
-        t = trades(spark, directory)
         limit = F.col("size") / 100 if threshold == "column" else threshold
-        return t.select("event_id", labels.fixed_time_return_classification("price", 5, limit, symbol="symbol", order_by=["ts_event", "event_id"]).alias("label"))
+        out = labels.add_fixed_time_return_classification(trades(spark, directory), "price", 5, limit, symbol="symbol", time="ts_event", tie_breakers=["event_id"])
+        return out.select("event_id", "label")
 
     return run
 
 
+def _classify_column_form(spark: SparkSession, directory: str) -> DataFrame:
+    return trades(spark, directory).select("event_id", labels.fixed_time_return_classification("price", 5, 0.3, symbol="symbol", order_by=["ts_event", "event_id"]).alias("label"))
+
+
+def _classify_all(spark: SparkSession, directory: str) -> DataFrame:
+    """Without symbol: one series of all trades."""
+    out = labels.add_fixed_time_return_classification(trades(spark, directory), "price", 5, 0.3, time="ts_event", tie_breakers=["event_id"], block=1_000)
+    return out.select("event_id", "label")
+
+
+def _streaming_bars(spark: SparkSession, directory: str) -> DataFrame:
+    """The streaming operator over all trades at once, where nothing is late."""
+    with Config(**_NAMES):
+        return _rounded(streaming_time_bars(trades(spark, directory), bar_size="15m"), "vwap")
+
+
 def _barrier(offset: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, directory: str) -> DataFrame:
         with Config(**_NAMES):
@@ -144,6 +161,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "classification_sign": _classify(None),
         "classification_threshold": _classify(0.3),
         "classification_column": _classify("column"),
+        "classification_column_form": _classify_column_form,
+        "classification_all": _classify_all,
+        "streaming_time_bars_15m": _streaming_bars,
         "vertical_barrier_3h": _barrier("3h"),
         "vertical_barrier_1mo": _barrier("1mo"),
         "daily_vol_span100": _daily_vol,
@@ -274,6 +294,9 @@ def oracle_sql() -> dict[str, str]:
         "fixed_time_return": f"select event_id, ret from ({_RET})",
         "classification_sign": f"select event_id, sign(ret)::int as label from ({_RET})",
         "classification_threshold": f"select event_id, (case when ret > 0.3 then 1 when ret < -0.3 then -1 when ret is not null then 0 end)::int as label from ({_RET})",
+        "classification_column_form": f"select event_id, (case when ret > 0.3 then 1 when ret < -0.3 then -1 when ret is not null then 0 end)::int as label from ({_RET})",
+        "classification_all": f"select event_id, (case when ret > 0.3 then 1 when ret < -0.3 then -1 when ret is not null then 0 end)::int as label from (select *, lead(price, 6) over w / nullif(lead(price, 1) over w, 0) - 1 as ret from ({_T}) window w as (order by ts_event, event_id))",
+        "streaming_time_bars_15m": out["time_bars_15m"],
         "classification_column": f"select event_id, (case when ret > size / 100 then 1 when ret < -size / 100 then -1 when ret is not null then 0 end)::int as label from ({_RET})",
         "vertical_barrier_3h": f"with t as ({_T}) select a.ts_event, a.symbol, b.ts_event as vertical_barrier from t a asof left join t b on a.symbol = b.symbol and a.ts_event + interval 3 hour <= b.ts_event",
         "vertical_barrier_1mo": f"with t as ({_T}) select a.ts_event, a.symbol, b.ts_event as vertical_barrier from t a asof left join t b on a.symbol = b.symbol and a.ts_event + interval 1 month <= b.ts_event",
