@@ -41,8 +41,13 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
     """Keys with at least ``share`` of all rows, and their ``n_rows``: at most ``1 / share`` keys, whatever the data, so they may be
     broadcast. One scan of the key columns; counts are combined on the map side and also give the total."""
     counts = df.groupBy(*(col(k) for k in keys)).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = counts.agg(F.sum("n_rows").alias("__all")).select("__all").scalar()
-    return counts.where(F.col("n_rows") >= F.lit(_share(share)) * total)
+    return counts.where(F.col("n_rows") >= F.lit(_share(share)) * _total(df, keys))
+
+
+def _total(df: DataFrame, keys: Sequence[str]) -> Column:
+    """The number of rows as the sum of the counts per key: wherever a plan also needs these, one exchange serves both."""
+    counts = df.groupBy(*(col(k) for k in keys)).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.agg(F.sum("n_rows").alias("__all")).select("__all").scalar()
 
 
 def _narrow(plan) -> bool:
@@ -145,9 +150,9 @@ def _quantile(rows: DataFrame, names: Sequence[str], q: float) -> DataFrame:
 
 def key_shares(df: DataFrame, key: str, *, least: float = 0.0, **options: object) -> DataFrame:
     """Rows per key and their share of all rows (null keys count in the total but are not reported), at least ``least``. The total
-    is that of the counts, so the rows are not read for it again."""
+    is that of the counts that tell the heavy keys, so the rows are not read for it again."""
     counts = salted_aggregate(df, [key], {"n_rows": ("count",)}, **options)
-    total = counts.agg(F.sum("n_rows").alias("__all")).select("__all").scalar()
+    total = _total(df.select(col(key).alias("__k0")), ["__k0"])
     shares = counts.where(col(key).isNotNull()).withColumn("share", F.try_divide(F.col("n_rows").cast("double"), total))
     return shares.where(F.col("share") >= F.lit(least))
 
