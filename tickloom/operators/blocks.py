@@ -64,11 +64,12 @@ def running_totals(df: DataFrame, keys: Sequence[str], bucket: str, order: str,
     return rows.withColumn(inner, partial).join(totals, at).withColumn(out, F.col(inner) + F.col(before)).drop(own, inner, before)
 
 
-def over_blocks(df: DataFrame, compute: Callable[[WindowSpec], Column], out: str, *, partition_by: Sequence[str], order_by: Sequence[str], time: str, before: int = 0, after: int = 0, block: int = 100_000) -> DataFrame:
+def over_blocks(df: DataFrame, compute: Callable[[WindowSpec], Column], out: str, *, partition_by: Sequence[str], order_by: Sequence[str], time: str, before: int = 0, after: int = 0, block: int = 100_000, number: str | None = None) -> DataFrame:
     """The frame with ``out``, a window expression that looks at most ``before`` rows back and ``after`` rows ahead.
 
     Rows are numbered per partition by running totals and cut into blocks of ``block`` rows; those near a cut are copied to the
-    neighbours, so a key that holds most rows is spread over its blocks. ``time`` is a timestamp that leads ``order_by``.
+    neighbours, so a key that holds most rows is spread over its blocks. ``time`` is a timestamp that leads ``order_by``. ``number``
+    names a column for each row's number in its partition, from 1.
     """
     require(df, *partition_by, *order_by, time)
     if order_by[0] != time:
@@ -82,7 +83,8 @@ def over_blocks(df: DataFrame, compute: Callable[[WindowSpec], Column], out: str
     places = F.array_compact(F.array(home, F.when(pos >= size - before, home + 1) if before else F.lit(None).cast("long"), F.when(pos < after, home - 1) if after else F.lit(None).cast("long")))
     copied = numbered.withColumn(b, F.explode(places))
     done = copied.withColumn(out, compute(Window.partitionBy(k, b).orderBy(rn)))
-    return done.where(F.col(b) == home).drop(k, h, o, rn, b)
+    done = done.where(F.col(b) == home)
+    return (done.withColumnRenamed(rn, number) if number else done.drop(rn)).drop(k, h, o, b)
 
 
 def asof(rows: DataFrame, shift: int, *, forward: bool, width: int | None = None, asked: Column | None = None) -> DataFrame:
