@@ -21,6 +21,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SLOTS = 1024
 _LARGEST = 1_000_000
+_TOTALS = 1_000_000  # rows of some 40 bytes
 _encoders: dict = {}
 
 
@@ -76,18 +77,22 @@ def running_offsets(df: DataFrame, group: str, order: str, amount: str, width: i
     return _with_totals(b.withColumn("__in", inner), group, "__b", amount, "__in").drop("__b", "__in")
 
 
-def _with_totals(df: DataFrame, group: str, bucket: str, amount: str, inner: str) -> DataFrame:
-    """``start`` from the sums within (group, bucket) and the totals of the group's buckets before: one narrow row each."""
+def _with_totals(df: DataFrame, group: str, bucket: str, amount: str, inner: str, checked: bool = False) -> DataFrame:
+    """``start`` from the sums within (group, bucket) and the totals of the group's buckets before: one narrow row each. If
+    ``checked`` these are counted, and broadcast if they are few, so that the rows with their payload stay where they are."""
     totals = df.groupBy(group, bucket).agg(F.sum(amount).alias("__t"))
     before = F.sum("__t").over(Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__t")
     totals = totals.select(F.col(group).alias("__g"), F.col(bucket).alias("__c"), before.alias("__before"))
+    if checked:  # one narrow row per group and bucket; beyond the bound Spark joins as it sees fit
+        totals = stored(totals, "totals")
+        totals = F.broadcast(totals) if totals.count() <= _TOTALS else totals
     joined = df.join(totals, F.col(group).eqNullSafe(F.col("__g")) & (F.col(bucket) == F.col("__c")))
     return joined.withColumn("start", F.col(inner) + F.col("__before")).drop("__g", "__c", "__before")
 
 
 def _pieces(tokens: DataFrame, block: int) -> DataFrame:
     """``source``, ``block`` and the range ``lo`` to ``hi`` of the source's tokens that each document gives to each of its blocks."""
-    laid = _with_totals(tokens.where("n_tokens > 0 and source is not null"), "source", "bucket", "n_tokens", "before")
+    laid = _with_totals(tokens.where("n_tokens > 0 and source is not null"), "source", "bucket", "n_tokens", "before", checked=True)
     first, last = F.expr(f"start div {block}"), F.expr(f"(start + n_tokens - 1) div {block}")
     pieces = laid.withColumn("block", F.explode(F.sequence(first, last)))
     return pieces.withColumns({"lo": F.greatest(F.col("block") * block, F.col("start")), "hi": F.least((F.col("block") + 1) * block, F.col("start") + F.col("n_tokens"))})
