@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +80,8 @@ def features(texts: pa.Array, sections: Sections = Sections(), *, asides: bool =
     flat = parts.flatten()
     wanted = pc.starts_with(flat, "\x02" if asides else "\x03")
     owner, flat = owner[wanted.to_numpy(zero_copy_only=False)], flat.filter(wanted)
-    plain = pc.utf8_trim_whitespace(sub(pc.utf8_lower(flat), r"[^\p{L}]+", " "))
-    lists = pc.split_pattern(plain, " ")
+    plain = pc.utf8_trim_whitespace(sub(pc.utf8_lower(flat), r"[^\p{L} ]+", " "))
+    lists = pc.ascii_split_whitespace(plain)  # letters and blanks are left
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype("int64")
     hashes, _ = _hashes(lists.flatten())
     n = len(hashes)
@@ -103,9 +104,12 @@ def features(texts: pa.Array, sections: Sections = Sections(), *, asides: bool =
 
 
 def _row_sums(values: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sums of values[start[i]:start[i + 1]], empty rows 0."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype="float64")])
-    return total[start[1:]] - total[start[:-1]]
+    """Sums of values[start[i]:start[i + 1]], empty rows 0; the rows hold all values."""
+    out = np.zeros(len(start) - 1)
+    has = start[1:] > start[:-1]
+    if has.any():
+        out[has] = np.add.reduceat(values, start[:-1][has], dtype="float64")
+    return out
 
 
 @dataclass
@@ -117,12 +121,19 @@ class Model:
     needed: int = NEEDED
     sections: Sections = Sections()
 
+    @cached_property
+    def _by_subject(self) -> np.ndarray:
+        """One row of weights per subject, small enough for a processor's cache."""
+        return np.ascontiguousarray(self.weights.T)
+
     def scores(self, f: Features) -> np.ndarray:
         out = np.empty((len(f.document), len(self.subjects)))
         for lo in range(0, len(f.document), 4_096):
             hi = min(lo + 4_096, len(f.document))
             a, b = f.start[lo], f.start[hi]
-            out[lo:hi] = _row_sums(self.weights[f.index[a:b]], f.start[lo : hi + 1] - a)
+            index, start = f.index[a:b].astype(np.intp), f.start[lo : hi + 1] - a
+            for j, w in enumerate(self._by_subject):
+                out[lo:hi, j] = _row_sums(w.take(index), start)
         return out / _scale(f)[:, None] + self.bias
 
     def assign(self, f: Features, n: int) -> np.ndarray:
@@ -135,97 +146,151 @@ def _scale(f: Features) -> np.ndarray:
 
 
 def best(scores: np.ndarray, document: np.ndarray, n: int, needed: int) -> np.ndarray:
-    """The needed-th best score of each document and subject, minus infinity with fewer paragraphs."""
+    """The needed-th best score of each document and subject, minus infinity with fewer paragraphs. ``document`` is in order."""
     out = np.full((n, scores.shape[1]), -np.inf)
     if not len(document):
         return out
     count = np.bincount(document, minlength=n)
-    first = np.cumsum(count) - count
     has = count >= needed
+    rows = has[document]
+    owner = np.repeat(np.arange(int(has.sum())), count[has])
+    if not len(owner):
+        return out
+    first = np.cumsum(count[has]) - count[has]
     for k in range(scores.shape[1]):
-        order = np.lexsort((-scores[:, k], document))
-        out[has, k] = scores[order[first[has] + needed - 1], k]
+        s = scores[rows, k]
+        for _ in range(needed - 1):  # the best paragraph of each document goes, the first of equal ones
+            top = np.flatnonzero(s == np.maximum.reduceat(s, first)[owner])
+            s[top[np.diff(owner[top], prepend=-1) > 0]] = -np.inf
+        out[has, k] = np.maximum.reduceat(s, first)
     return out
 
 
-def _fit(f: Features, target: np.ndarray, rounds: int, l2: float, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression by full-batch Adagrad over the features that the sample has at least twice: features, weights, bias."""
-    count = np.bincount(f.index, minlength=1 << BITS)
-    used = np.flatnonzero(count >= 2)
-    place = np.zeros(1 << BITS, dtype="int32")
-    place[used] = np.arange(len(used))
-    often = count[f.index] >= 2
-    start = np.concatenate([[0], np.cumsum(often)])[f.start]
-    index = place[f.index[often]]
-    size, scale = np.diff(start), _scale(f)
-    has = size > 0
-    heads = start[:-1][has]
-    w = np.zeros(len(used), dtype="float32")
-    share = float(target.mean()) if len(target) else 0.0
+def _by_feature(f: Features) -> tuple[np.ndarray, np.ndarray]:
+    """Row and feature of each entry, in the order of the features and in these of the rows."""
+    low = np.argsort((f.index & 0xFFFF).astype("uint16"), kind="stable")  # two sorts of 16 bits, by radix
+    order = low[np.argsort((f.index >> 16).astype("uint16")[low], kind="stable")]
+    return np.repeat(np.arange(len(f.document), dtype="int32"), np.diff(f.start))[order], f.index[order]
+
+
+class Sample:
+    """Paragraphs ``rows`` of ``f``, laid out for fits: the entries of features that they have at least twice, once in the order of the
+    paragraphs and once in that of the features, so that a round of a fit is two gathers and two sums of neighbours. ``order`` is
+    the order of the features where it is known."""
+
+    def __init__(self, f: Features, rows: np.ndarray, order: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        self.rows, self.part = rows, _take(f, rows)
+        part = self.part
+        self.count = np.bincount(part.index, minlength=1 << BITS)
+        self.used = np.flatnonzero(self.count >= 2)
+        place = np.zeros(1 << BITS, dtype=np.intp)
+        place[self.used] = np.arange(len(self.used))
+        often = self.count[part.index] >= 2
+        start = np.concatenate([[0], np.cumsum(often)])[part.start]
+        self.index = place[part.index[often]]
+        self.scale, self.has = _scale(part), np.diff(start) > 0
+        self.heads = start[:-1][self.has]
+        row, feature = order or _by_feature(f)
+        chosen = rows[row] & (self.count[feature] >= 2)
+        self.row = (np.cumsum(rows) - 1)[row[chosen]]
+        self.first = np.cumsum(self.count[self.used]) - self.count[self.used]
+
+
+def _fit(sample: Sample, target: np.ndarray, rounds: int, l2: float, rate: float = 0.5, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression by full-batch Adagrad over the features that the sample has at least twice: features, weights, bias.
+    Paragraphs ``out`` count as if the sample did not have them; their targets are 0."""
+    n, live = len(target), None
+    if out is not None and out.any():
+        n -= int(out.sum())
+        live = (sample.count - np.bincount(_take(sample.part, out).index, minlength=1 << BITS))[sample.used] >= 2
+    w = np.zeros(len(sample.used), dtype="float32")
+    share = float(target.sum()) / n if n else 0.0
     b = float(np.log((share + 1e-4) / (1 - share + 1e-4)))
     g2 = np.full_like(w, 1e-6)
     z = np.zeros(len(target))
-    for _ in range(rounds if len(target) else 0):
-        if len(heads):
-            z[has] = np.add.reduceat(w.take(index), heads)
-        error = 1 / (1 + np.exp(-np.clip(z / scale + b, -30, 30))) - target
-        g = np.bincount(index, weights=np.repeat((error / scale).astype("float32"), size), minlength=len(used)) + l2 * w
-        g2 += g * g
-        w -= rate * g / np.sqrt(g2)
-        b -= 4 * float(error.mean())
-    return used, w, b
+    for _ in range(rounds if n else 0):
+        if len(sample.heads):
+            z[sample.has] = np.add.reduceat(w.take(sample.index), sample.heads)
+        error = 1 / (1 + np.exp(-np.clip(z / sample.scale + b, -30, 30))) - target
+        if live is not None:
+            error[out] = 0
+        if len(w):
+            g = np.add.reduceat((error / sample.scale).astype("float32").take(sample.row), sample.first) + l2 * w
+            if live is not None:
+                g[~live] = 0
+            g2 += g * g
+            w -= rate * g / np.sqrt(g2)
+        b -= 4 * float(error.sum()) / n
+    return (sample.used, w, b) if live is None else (sample.used[live], w[live], b)
 
 
 def _scores(f: Features, used: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
     full = np.zeros(1 << BITS, dtype="float32")
     full[used] = w
-    return _row_sums(full[f.index], f.start) / _scale(f) + b
+    return _row_sums(full.take(f.index), f.start) / _scale(f) + b
 
 
 def _kth(scores: np.ndarray, document: np.ndarray, n: int, needed: int) -> np.ndarray:
     return best(scores[:, None], document, n, needed)[:, 0]
 
 
-def train_one(f: Features, asides: Features, label: np.ndarray, weak: np.ndarray, held: np.ndarray, *, needed: int = NEEDED, refits: int = 2, turns: int = 3, rounds: int = 20, l2: float = 0.01, aside_l2: float = 0.1, likely: float = 0.4) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+@dataclass
+class Training:
+    """Paragraphs and asides of the sampled documents, and which of these have no hand labels (``weak``) or are held out. What the fits
+    of all subjects share is laid out once by each worker."""
+
+    paragraphs: Features
+    asides: Features
+    weak: np.ndarray
+    held: np.ndarray
+
+    @cached_property
+    def samples(self) -> tuple[Sample, Sample, Sample, Sample]:
+        """Paragraphs and asides of the hand-labelled documents that are not held out, then those of all that are not held out."""
+        ordered = [(f, _by_feature(f)) for f in (self.paragraphs, self.asides)]
+        return tuple(Sample(f, documents[f.document], order) for documents in (~(self.held | self.weak), ~self.held) for f, order in ordered)
+
+
+def train_one(training: Training, label: np.ndarray, *, needed: int = NEEDED, refits: int = 2, turns: int = 3, rounds: int = 20, l2: float = 0.01, aside_l2: float = 0.1, likely: float = 0.4) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
     """The classifier of one subject: features, weights, bias, and the scores of the held-out documents.
 
     ``label`` (0 or 1) is by document. The first fits take hand-labelled documents only. Then, for some turns, the documents in
     ``weak`` have the subject if their aside tells it, by a classifier fitted against the hand labels and in later turns also
     against what paragraphs show, or if their own paragraphs show it; the paragraphs of all documents but the held-out ones are
     fitted against these labels. Single paragraphs that may treat the subject in documents without it are left to no side."""
+    f, asides, weak, held = training.paragraphs, training.asides, training.weak, training.held
     n = len(label)
     marked = label.astype(bool)
     by_hand = ~(held | weak)
 
-    def kept(rows: np.ndarray, score: np.ndarray, y: np.ndarray) -> np.ndarray:
-        part = f.document[rows]
-        return (y[part] & (score >= np.minimum(0.0, _kth(score, part, n, needed)[part]))).astype(float)
+    def kept(part: Features, score: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (y[part.document] & (score >= np.minimum(0.0, _kth(score, part.document, n, needed)[part.document]))).astype(float)
 
     def shown(score: np.ndarray) -> np.ndarray:
         top = _kth(score, f.document, n, needed)
         return np.where(weak, top >= max(_threshold(top[by_hand], label[by_hand]), -0.5), marked)
 
-    rows = by_hand[f.document]
-    part = _take(f, rows)
-    target = marked[part.document].astype(float)
+    sample, telling, *fitted = training.samples
+    target = marked[sample.part.document].astype(float)
     for turn in range(refits + 1):
-        used, w, b = _fit(part, target, rounds, l2)
+        used, w, b = _fit(sample, target, rounds, l2)
         if turn < refits:
-            target = kept(rows, _scores(part, used, w, b), marked)
-    telling = _take(asides, by_hand[asides.document])
-    tells = marked[telling.document].astype(float)
-    for _ in range(turns if weak.any() else 0):
-        told = np.zeros(n, dtype=bool)
+            target = kept(sample.part, _scores(sample.part, used, w, b), marked)
+    score = _scores(f, used, w, b)
+    tells = marked[telling.part.document].astype(float)
+    for turn in range(turns if weak.any() else 0):
+        told, seen = np.zeros(n, dtype=bool), shown(score)
+        if turn:
+            tells = seen[telling.part.document].astype(float)
         told[asides.document[_scores(asides, *_fit(telling, tells, 30, aside_l2)) >= np.log(likely / (1 - likely))]] = True
+        y = np.where(weak, told | seen, marked)
+        sample, telling = fitted
+        part, own = sample.part, score[sample.rows]
+        out = weak[part.document] & ~y[part.document] & (own > 0)
+        used, w, b = _fit(sample, kept(part, own, y), rounds, l2, out=out)
         score = _scores(f, used, w, b)
-        y = np.where(weak, told | shown(score), marked)
-        rows = ~held[f.document] & ~(weak[f.document] & ~y[f.document] & (score > 0))
-        used, w, b = _fit(_take(f, rows), kept(rows, score[rows], y), rounds, l2)
-        telling = _take(asides, ~held[asides.document])
-        tells = shown(_scores(f, used, w, b))[telling.document].astype(float)
-    judged = _take(f, held[f.document])
-    top = _kth(_scores(judged, used, w, b), judged.document, n, needed)[held]
-    return used, w, b, top
+    judged = held[f.document]
+    return used, w, b, _kth(score[judged], f.document[judged], n, needed)[held]
 
 
 def _take(f: Features, rows: np.ndarray) -> Features:
@@ -330,13 +395,13 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str], *
     weak = np.arange(len(y)) >= n
     held = ~weak & (np.random.default_rng(seed).random(len(y)) < held_out)
     asides = _joined(_collected(hand, sections, True)[1], _collected(other, sections, True)[1], n)
-    sent = spark.sparkContext.broadcast((_joined(bags, more, n), asides, y, weak, held))
+    sent = spark.sparkContext.broadcast((Training(_joined(bags, more, n), asides, weak, held), y))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for j in batch.column("id").to_pylist():
-                f, told, marks, others, out = sent.value
-                used, w, b, top = train_one(f, told, marks[:, j], others, out, **options)
+                training, marks = sent.value
+                used, w, b, top = train_one(training, marks[:, j], **options)
                 yield pa.RecordBatch.from_arrays([pa.array([j]), pa.array([used.astype("<i4").tobytes()]), pa.array([w.astype("<f4").tobytes()]), pa.array([float(b)]), pa.array([top.astype("<f8").tobytes()])], names=["j", "used", "w", "b", "top"])
 
     weights, bias = np.zeros((1 << BITS, len(subjects)), dtype="float32"), np.zeros(len(subjects))
